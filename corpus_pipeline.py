@@ -7,11 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import bpe, simhash, substring
+from textquarry.llm import bpe, decontam, langid, simhash, substring
 from textquarry.llm.common import shared_dir, table
 from textquarry.llm.queries import tokenizer
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no language makes up a third of the words, go."""
+    return langid.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest doc_id."""
     return simhash.drop_near_duplicates(docs)
@@ -22,14 +27,21 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return substring.remove_repeats(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other numbers and names, go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
     return bpe.encode_digest(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
     ("simhash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminate),
     ("bpe encoding and decoding", encode),
 ]
 
