@@ -117,6 +117,18 @@ def gather(offsets: np.ndarray, flat: np.ndarray, index: np.ndarray) -> tuple[np
     return flat[position], lengths
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], object], most: int = 2):
+    """What make() gives, built once in a worker process for all tasks that it runs with this key; `most` are kept."""
+    if key not in _KEPT:
+        while len(_KEPT) >= most:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class WordMemo:
     """What a worker remembers of words: resolve(words) gives bytes for each, join() a text's bytes; bounded, then begun anew."""
 

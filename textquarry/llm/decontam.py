@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import WordMemo, arrow_map, materialise, text_bytes, words_of
+from .common import WordMemo, arrow_map, kept_in_worker, materialise, text_bytes, words_of
 from .substring import window_hashes
 
 #: Words in a window, literal words that it must hold, words of a matched passage from which a document counts as
@@ -68,7 +68,7 @@ def windows(table: DataFrame, key: str, widths: list[int] | None, shipped=None)
     shorter text. With a shipped filter, of those that it passes alone. Slots are the values under placeholders, by place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(lambda v: [template(w) for w in v], MEMO_WORDS)
+        memo = kept_in_worker("templates", lambda: WordMemo(lambda v: [template(w) for w in v], MEMO_WORDS))
         bits = None if shipped is None else np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             keys, texts, at = batch.column(0).to_pylist(), text_bytes(batch.column(1)), 0

@@ -8,6 +8,7 @@ document's logit their mean.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, arrow_map, fold, text_bytes
+from .common import WordMemo, arrow_map, fold, kept_in_worker, text_bytes
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -164,10 +165,11 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of the whole text; a text without words has the score of the bias alone."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a float a bucket
+    name = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        memo = WordMemo(lambda v: [x.tobytes() for x in m.word_values(v).astype(np.float32)], MEMO_WORDS)
+        memo = kept_in_worker(name, lambda: WordMemo(lambda v: [x.tobytes() for x in m.word_values(v).astype(np.float32)], MEMO_WORDS))
         for batch in batches:
             texts, at = text_bytes(batch.column(1)), 0
             means: list[float] = []
