@@ -1,15 +1,253 @@
-"""All queries of the text-quality engine, with their SQL where there is one."""
+"""All queries of the text-quality engine, with their SQL where there is one.
+
+Real-valued results are rounded to six places, as sums may run in another order elsewhere.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import stats, text
+from ..functions import vocabularies as v
+from ..operators import annotate, language, modeling, surface
+from . import survey as base
+
+KEYS = ["user_id", "file_id"]
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns (or all) with real values rounded to six places, and no negative zero."""
+    names = columns or df.columns
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*((F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else F.col(c).cast("long").alias(c) if isinstance(kinds[c], T.IntegralType) else F.col(c) for c in names))
+
+
+def survey_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return base.survey(spark, sf).select(*KEYS, "question", F.md5(F.col("text").cast("binary")).alias("text_md5"), "rating")
+
+
+def report_users(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(modeling.report(base.survey(spark, sf)))
+
+
+SENTENCE = ["avg_sentence_len", "n_sentences", "n_tokens", "sentence_length"]
+READABILITY = ["n_sentences_r", "n_words", "n_chars_r", "syllables", "polysyllables", "words_per_sentence", "syllables_per_word", "chars_per_word", "polysyllable_rate", "flesch_reading_ease", "fk_grade_level", "gunning_fog", "ari", "coleman_liau", "smog_index"]
+LEXICAL = ["tokens", "types", "ttr", "rttr", "cttr", "herdan_c", "maas_a2", "yules_k", "hapax_ratio", "dis_legomena_ratio", "avg_word_len"]
+DISCOURSE = ["token_count", "count_temporal", "count_comparison", "count_cause", "count_expansion", "total_connectives", "density_temporal", "density_comparison", "density_cause", "density_expansion", "connective_density_per_100w", "unique_connectives", "connective_entropy", "enumeration_count"]
+SENTIMENT = ["vader_compound", "vader_pos", "vader_neu", "vader_neg", "tb_polarity", "tb_subjectivity"]
+CONSISTENCY = ["nli_mean_entail", "nli_mean_contra", "nli_max_contra", "nli_frac_entail_gt50", "nli_frac_contra_gt50", "nli_pairs_evaluated", "nli_r_to_q_entail", "nli_q_to_r_entail", "nli_r_to_q_contra", "nli_q_to_r_contra", "n_sentences_resp"]
+
+
+def sentence_length(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(surface.sentence_length(base.survey(spark, sf)), *KEYS, *SENTENCE)
+
+
+def readability(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(surface.readability(base.survey(spark, sf)), *KEYS, *READABILITY)
+
+
+def lexical_richness(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(surface.lexical_richness(base.survey(spark, sf), with_mtld=False), *KEYS, *LEXICAL)
+
+
+def lexical_mtld(spark: SparkSession, sf: str) -> DataFrame:
+    return base.survey(spark, sf).select(*KEYS, surface.mtld(text.lower_words(F.col("text"))).alias("mtld"))
+
+
+def frequency_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    return surface.frequency_spectrum(base.survey(spark, sf))
+
+
+def discourse(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(surface.discourse(base.survey(spark, sf)), *KEYS, *DISCOURSE)
+
+
+def discourse_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return surface.discourse(base.survey(spark, sf)).select(*KEYS, "total_connectives", "avg_connective_position")
+
+
+def sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(surface.sentiment(base.survey(spark, sf)), *KEYS, *SENTIMENT)
+
+
+def truncated_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The cap that feeds models of limited context: what the operator gives for each whole text, as digest and size."""
+    cut = text.truncate_words(F.col("text"), 380)
+    return base.survey(spark, sf).select(*KEYS, F.md5(cut.cast("binary")).alias("cut_md5"), F.size(text.tokens_at_space(cut)).cast("long").alias("n_words"))
+
+
+def pos(spark: SparkSession, sf: str) -> DataFrame:
+    df = annotate.pos_features(annotate.annotate(base.survey(spark, sf)))
+    return rounded(df.drop("tokens", "entities", "question", "text", "rating", "annotation_status"))
+
+
+def dependency(spark: SparkSession, sf: str) -> DataFrame:
+    df = annotate.dependency_features(annotate.annotate(base.survey(spark, sf)))
+    return rounded(df, *KEYS, "avg_tree_depth", "max_tree_depth", "std_tree_depth", "avg_dep_distance", "root_children_mean", "n_sentences_dep", "n_tokens_dep")
+
+
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    df = annotate.entity_features(annotate.annotate(base.survey(spark, sf)))
+    return rounded(df.drop("tokens", "entities", "question", "text", "rating", "annotation_status"))
+
+
+def entity_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(annotate.entity_grid(annotate.annotate(base.survey(spark, sf)), KEYS))
+
+
+def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector beside that of the next id."""
+    e = base.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("q_vec"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("q_vec").alias("r_vec"))
+    return e.join(nxt, "vec_id")
+
+
+def semantic(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(language.semantic(vector_pairs(spark, sf)), "vec_id", "cosine_sim", "q_norm", "r_norm", "norm_gap")
+
+
+def pairwise_block(spark: SparkSession, sf: str) -> DataFrame:
+    """The block of a vector pair, as one row for each of its places."""
+    long = vector_pairs(spark, sf).select("vec_id", F.posexplode(stats.pairwise_block(F.col("q_vec"), F.col("r_vec"))).alias("place", "value"))
+    return rounded(long)
+
+
+def clip(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(language.clip_features(vector_pairs(spark, sf)), "vec_id", "clip_qr_cosine")
+
+
+def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Question and response through the text encoder."""
+    df = language.semantic(language.encode(base.survey(spark, sf), {"question": "q_vec", "text": "r_vec"}, language.hash_encoder()))
+    return rounded(df, *KEYS, "cosine_sim", "q_norm", "r_norm", "norm_gap")
+
+
+def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The survey, its words with scores under the model of all of its words, and that model."""
+    texts = base.survey(spark, sf)
+    words = language.positions(texts, KEYS)
+    model = language.bigram_model(words)
+    # every pair is in the model, so one join scores all words
+    known = words.join(model, ["prev", "word"]).select(*KEYS, "pos", "prev", "word", language.log_probability().alias("log_prob"), "rank")
+    return texts, known, model
+
+
+def perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    texts, words, _ = scored(spark, sf)
+    return rounded(language.perplexity(words, texts, KEYS).withColumn("perplexity", F.when(F.col("perplexity") == float("inf"), None).otherwise(F.col("perplexity"))))
+
+
+def token_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    texts, words, _ = scored(spark, sf)
+    return rounded(language.token_ranks(words, texts, KEYS))
+
+
+def consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(language.consistency(base.survey(spark, sf)), *KEYS, *CONSISTENCY)
+
+
+def curvature(spark: SparkSession, sf: str) -> DataFrame:
+    texts, _, model = scored(spark, sf)
+    out = language.curvature(texts, model, KEYS, k=2)
+    return out.withColumn("ll_orig", F.when(stats.is_finite(F.col("ll_orig")), F.col("ll_orig")))
+
+
+def simple_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """A prediction that SQL can make too: the clipped mean length of words."""
+    w = text.words(F.col("text"))
+    mean = stats.safe_divide(F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)), F.size(w))
+    return modeling.with_split(base.survey(spark, sf), KEYS).select(*KEYS, "rating", "split", stats.clip(mean).alias("pred_rating"))
+
+
+def split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return modeling.with_split(base.survey(spark, sf), KEYS).select(*KEYS, "split")
+
+
+def per_user(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(modeling.per_user(simple_predictions(spark, sf)))
+
+
+def per_user_test_only(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(modeling.per_user(simple_predictions(spark, sf).where("split = 'test'"), count="n_test_rows"))
+
+
+def evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(modeling.evaluate(simple_predictions(spark, sf), ["split"]), "split", "n", "mse", "mae", "r2")
+
+
+def dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Events' values with NaN, infinity and null in places, and their text form."""
+    e = base.table(spark, sf, "events")
+    k = F.col("event_id") % 10
+    x = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, None).otherwise(F.col("value").cast("double"))
+    return e.select("event_id", x.alias("x"), F.when(k == 3, "n/a").when(k == 4, None).otherwise(F.col("value").cast("double").cast("string")).alias("s"))
+
+
+def cleaning(spark: SparkSession, sf: str) -> DataFrame:
+    df = dirty(spark, sf).withColumns({"finite_or_zero": F.col("x"), "to_max": F.col("x"), "clipped": stats.clip(F.when(stats.is_finite(F.col("x")), F.col("x")))})
+    return rounded(modeling.non_finite_to_max(modeling.clean(df, ["finite_or_zero"]), "to_max"), "event_id", "finite_or_zero", "to_max", "clipped")
+
+
+def coercion(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(modeling.coerce(dirty(spark, sf), ["s"]), "event_id", "s")
+
+
+def standardised(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(modeling.standardise(simple_predictions(spark, sf), ["pred_rating"]), *KEYS, "pred_rating_z")
+
+
+def master_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Families that need no model, as one table from one scan."""
+    df = base.survey(spark, sf)
+    for family in (surface.sentence_length, surface.readability, surface.lexical_richness, surface.discourse, surface.sentiment):
+        df = family(df)
+    return df.select(*KEYS, "rating", *SENTENCE, *READABILITY, *LEXICAL, "mtld", *DISCOURSE, "avg_connective_position", *SENTIMENT)
+
+
+def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    df = modeling.with_split(master_features(spark, sf), KEYS).cache()
+    columns = ["avg_sentence_len", "flesch_reading_ease", "ttr", "connective_density_per_100w", "vader_compound"]
+    return modeling.predict(modeling.forest(df, columns, trees=20, depth=10), df, columns).select(*KEYS, "rating", "split", "pred_rating")
+
+
+def combo_summary(spark: SparkSession, sf: str) -> DataFrame:
+    df = modeling.with_split(master_features(spark, sf), KEYS).cache()
+    return modeling.combo_sweep(df, trees=5)[0]
+
+
+def component_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Principal components of the pairwise block, as columns."""
+    df = modeling.with_split(vector_pairs(spark, sf), ["vec_id"]).withColumn("block", stats.pairwise_block(F.col("q_vec"), F.col("r_vec")))
+    return modeling.spread(modeling.with_components(df, "block", most=8), "pca", 8, "pca").select("vec_id", *(f"pca_{k:03d}" for k in range(8)))
+
+
+def mixed_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed-effects and conditional predictions of the test rows."""
+    df = surface.lexical_richness(surface.sentence_length(base.survey(spark, sf)), with_mtld=False)
+    df = modeling.standardise(modeling.with_split(df, KEYS), ["ttr", "sentence_length"]).select(*KEYS, "rating", "split", "ttr_z", "sentence_length_z").cache()
+    model = modeling.MixedModel(["ttr_z", "sentence_length_z"]).fit(df.where("split = 'train'"))
+    return model.predict(df.where("split = 'test'")).select(*KEYS, "rating", "pred_fe_only", "pred_conditional")
+
+
+def top_words_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    """The five commonest words of each language, ties to the earlier in order: rank by row number over counts."""
+    w = base.table(spark, sf, "documents").select("lang", F.explode(text.lower_words(F.col("text"))).alias("word"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return w.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("nth", nth).where("nth <= 5").select("lang", "word", "n", F.col("nth").cast("long").alias("nth"))
+
+
+ALL = [survey_rows, report_users, sentence_length, readability, lexical_richness, lexical_mtld, frequency_spectrum, discourse, discourse_positions, sentiment, truncated_words, pos, dependency, entities, entity_grid, semantic, pairwise_block, clip, text_similarity, perplexity, token_ranks, consistency, curvature, split_rows, per_user, per_user_test_only, evaluation, cleaning, coercion, standardised, master_features, forest_predictions, combo_summary, component_block, mixed_model, top_words_by_lang]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)
