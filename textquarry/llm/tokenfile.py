@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, arrow_map, id_array, null_ids, partitions, shared_dir, text_bytes, words_of
+from .common import WordMemo, arrow_map, id_array, kept_in_worker, null_ids, partitions, shared_dir, text_bytes, words_of
 
 MAGIC = b"TQDAC1\0\0"
 BLOCK = 512
@@ -161,9 +161,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     with open(tokenizer_path, encoding="utf-8") as file:
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())  # of the size of its vocabulary
+    name = uuid.uuid4().hex
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, count, at = WordEncoder(shipped.value), TaskContext.get().partitionId(), 0, 0
+        encoder, part, count, at = kept_in_worker(name, lambda: WordEncoder(shipped.value)), TaskContext.get().partitionId(), 0, 0
         kept: list[tuple] = []
 
         def segment() -> pa.RecordBatch:
