@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +101,30 @@ def unpack(data: bytes, *dtypes: type) -> list[np.ndarray]:
     return out
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of all texts of a string column, as words_of has them: where each text's begin in the row of words (with the
+    end), the number of each word among the different ones, and these."""
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    index, distinct = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    if b"" in distinct:  # at edges of texts
+        keep = index != distinct.index(b"")
+        bounds, index = np.r_[0, np.cumsum(keep)][bounds], index[keep]
+    return bounds, index, distinct
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `size` bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
     if not len(sorted_keys):
@@ -135,6 +160,15 @@ class WordMemo:
     def __init__(self, resolve: Callable[[list], list[bytes]], limit: int):
         self.resolve, self.limit, self.known = resolve, limit, {}
 
+    def get(self, words: list) -> list[bytes]:
+        """The bytes of each of some different words."""
+        if len(self.known) > self.limit:
+            self.known = {}
+        missing = [w for w in words if w not in self.known]
+        if missing:
+            self.known.update(zip(missing, self.resolve(missing), strict=True))
+        return list(map(self.known.__getitem__, words))
+
     def join(self, texts: list[list]) -> list[bytes]:
         """For each text, a list of words, the bytes of its words in a row."""
         distinct = set().union(*texts)

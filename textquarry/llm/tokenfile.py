@@ -9,7 +9,6 @@ segments, each a row with its ids, its documents and the place of its first toke
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -17,11 +16,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, arrow_map, id_array, kept_in_worker, null_ids, partitions, shared_dir, text_bytes, words_of
+from .common import WordMemo, arrow_map, gather, id_array, kept_in_worker, null_ids, partitions, shared_dir, split_words, text_slices
 
 MAGIC = b"TQDAC1\0\0"
 BLOCK = 512
@@ -29,7 +29,6 @@ SEGMENT_TOKENS = 1 << 20
 #: Distinct words whose ids a worker keeps; it starts anew beyond that.
 MEMO_WORDS = 800_000
 END_ID = 2
-LETTER_THEN_STOP = re.compile(rb"(?<=[a-z])(?=[,.])").sub
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -108,20 +107,20 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo = WordMemo(self.resolve, memo_words)
 
-    @staticmethod
-    def pieces(text: bytes) -> list[bytes]:
-        if b"<|" in text:  # lower-casing could make a special token of it
-            return words_of(text)
-        return words_of(LETTER_THEN_STOP(b" ", text.lower()))
-
     def resolve(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and their number in each."""
-        got = self.memo.join([self.pieces(t) for t in texts])
-        return np.frombuffer(b"".join(got), self.kind), np.array([len(g) // self.kind.itemsize for g in got], np.int64)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column in a row, and their number in each."""
+        texts = pc.fill_null(texts, "")
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), pattern="([a-z])([,.])", replacement=r"\1 \2")
+        special = pc.match_substring(texts, "<|")  # lower-casing could make a special token of it
+        bounds, index, distinct = split_words(pc.if_else(special, texts, cut))
+        got = self.memo.get(distinct)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        ids, lengths = gather(np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(got), self.kind), index)
+        return ids, np.diff(np.r_[0, np.cumsum(lengths)][bounds])
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +138,6 @@ def read_payload(data: bytes) -> tuple[np.ndarray, np.ndarray, Dac]:
     return np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<u8", n, 16 + 8 * n).astype(np.int64), Dac(data[16 + 16 * n :])
 
 
-def batches_of(rows: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts) of documents in turn, about `size` bytes of text at a time."""
-    for batch in rows:
-        ids, texts, at, load = id_array(batch.column(0)), text_bytes(batch.column(1)), 0, 0
-        for i, t in enumerate(texts):
-            load += len(t)
-            if load >= size:
-                yield ids[at : i + 1], texts[at : i + 1]
-                at, load = i + 1, 0
-        if at < len(texts):
-            yield ids[at:], texts[at:]
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode every text and write segments to the folder `path`, through Spark's writer, so that any store will do.
 
@@ -164,18 +150,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     name = uuid.uuid4().hex
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, count, at = kept_in_worker(name, lambda: WordEncoder(shipped.value)), TaskContext.get().partitionId(), 0, 0
+        encoder, number, count, at = kept_in_worker(name, lambda: WordEncoder(shipped.value)), TaskContext.get().partitionId(), 0, 0
         kept: list[tuple] = []
 
         def segment() -> pa.RecordBatch:
             doc_ids, lengths, ids = (np.concatenate([k[j] for k in kept]) for j in range(3))
             payload = segment_payload(doc_ids, lengths, ids)
-            return pa.RecordBatch.from_pylist([{"part": part, "segment": count, "first_doc": int(doc_ids[0]), "local_start": at, "n_tokens": len(ids), "payload": payload}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"part": number, "segment": count, "first_doc": int(doc_ids[0]), "local_start": at, "n_tokens": len(ids), "payload": payload}], schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first_doc", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-        for doc_ids, texts in batches_of(rows, 1 << 21):
-            ids, lengths = with_end(*encoder.encode(texts), end_id)
-            kept.append((doc_ids, lengths, ids))
+        for batch in (part for whole in rows for part in text_slices(whole, 1)):
+            ids, lengths = with_end(*encoder.encode(batch.column(1)), end_id)
+            kept.append((id_array(batch.column(0)), lengths, ids))
             if sum(len(k[2]) for k in kept) >= segment_tokens:
                 yield segment()
                 at, count, kept = at + sum(len(k[2]) for k in kept), count + 1, []
