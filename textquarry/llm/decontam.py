@@ -15,11 +15,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import WordMemo, arrow_map, kept_in_worker, materialise, text_bytes, words_of
+from .common import WordMemo, arrow_map, kept_in_worker, materialise, split_words, text_slices
 from .substring import window_hashes
 
 #: Words in a window, literal words that it must hold, words of a matched passage from which a document counts as
@@ -70,32 +71,26 @@ def windows(table: DataFrame, key: str, widths: list[int] | None, shipped=None)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept_in_worker("templates", lambda: WordMemo(lambda v: [template(w) for w in v], MEMO_WORDS))
         bits = None if shipped is None else np.frombuffer(shipped.value, np.uint8)
-        for batch in batches:
-            keys, texts, at = batch.column(0).to_pylist(), text_bytes(batch.column(1)), 0
-            while at < len(texts):
-                end, load = at, 0
-                while end < len(texts) and load < 1 << 20:
-                    load += len(texts[end])
-                    end += 1
-                lists = [words_of(t) for t in texts[at:end]]
-                rows = []
-                for k, words, raw in zip(keys[at:end], lists, memo.join(lists), strict=True):
-                    h, kind = templates(np.frombuffer(raw, TEMPLATE))
-                    literal = np.r_[0, np.cumsum(kind == 0)]
-                    for width in [min(WINDOW, len(words))] if widths is None else widths:
-                        if width < LEAST_WORDS or len(words) < width:
-                            continue
-                        found = window_hashes(h, width)
-                        ok = literal[width:] - literal[:-width] >= math.ceil(LITERAL_SHARE * width)
-                        if bits is not None:
-                            a, b = filter_places(found, len(bits) * 8)
-                            ok &= (bits[a >> 3] >> (a & 7) & 1 > 0) & (bits[b >> 3] >> (b & 7) & 1 > 0)
-                        n = int(ok.sum())
-                        for p in np.flatnonzero(ok).tolist():
-                            slots = [f"{kind[i]}:{EDGE('', words[i].decode()).lower()}" for i in range(p, p + width) if kind[i]]
-                            rows.append({"key": k, "width": width, "hash": int(found[p].astype(np.int64)), "at": p, "n_windows": n, "slots": slots})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                at = end
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
+            bounds, index, distinct = split_words(pc.fill_null(batch.column(1), ""))
+            records = np.frombuffer(b"".join(memo.get(distinct)), TEMPLATE)
+            rows = []
+            for k, s, e in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                h, kind = templates(records[index[s:e]])
+                literal = np.r_[0, np.cumsum(kind == 0)]
+                for width in [min(WINDOW, e - s)] if widths is None else widths:
+                    if width < LEAST_WORDS or e - s < width:
+                        continue
+                    found = window_hashes(h, width)
+                    ok = literal[width:] - literal[:-width] >= math.ceil(LITERAL_SHARE * width)
+                    if bits is not None:
+                        a, b = filter_places(found, len(bits) * 8)
+                        ok &= (bits[a >> 3] >> (a & 7) & 1 > 0) & (bits[b >> 3] >> (b & 7) & 1 > 0)
+                    n = int(ok.sum())
+                    for p in np.flatnonzero(ok).tolist():
+                        slots = [f"{kind[i]}:{EDGE('', distinct[index[s + i]].decode()).lower()}" for i in range(p, p + width) if kind[i]]
+                        rows.append({"key": k, "width": width, "hash": int(found[p].astype(np.int64)), "at": p, "n_windows": n, "slots": slots})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("key", pa.int64()), ("width", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.string()))])
     return arrow_map(table.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text")), run, "key long, width int, hash long, at int, n_windows int, slots array<string>")

@@ -13,10 +13,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, arrow_map, fold, kept_in_worker, text_bytes
+from .common import WordMemo, arrow_map, fold, kept_in_worker, split_words, text_slices
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -32,6 +33,8 @@ MEMO_WORDS = 800_000
 # bytes that stand in words: letters, digits, the apostrophe and all beyond ASCII; others part them
 IN_WORD = bytes(b if chr(b).isalnum() or b == 39 or b >= 128 else 32 for b in range(256))
 
+NOT_IN_WORD = r"[^a-z0-9'\x{80}-\x{10FFFF}]+"
+
 
 def words(text: bytes) -> list[bytes]:
     return text.lower().translate(IN_WORD).split()
@@ -170,17 +173,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         memo = kept_in_worker(name, lambda: WordMemo(lambda v: [x.tobytes() for x in m.word_values(v).astype(np.float32)], MEMO_WORDS))
-        for batch in batches:
-            texts, at = text_bytes(batch.column(1)), 0
-            means: list[float] = []
-            while at < len(texts):
-                end, load = at, 0
-                while end < len(texts) and load < 1 << 20:
-                    load += len(texts[end])
-                    end += 1
-                means += [float(np.frombuffer(x, np.float32).mean(dtype=np.float64)) if x else 0.0 for x in memo.join([words(t) for t in texts[at:end]])]
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(np.array(means)), pa.float64())], names=["doc_id", "score"])
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
+            spaced = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(batch.column(1), "")), pattern=NOT_IN_WORD, replacement=" ")
+            bounds, index, distinct = split_words(spaced)
+            values = np.frombuffer(b"".join(memo.get(distinct)), np.float32).astype(np.float64)
+            sums = np.r_[0.0, np.cumsum(values[index])]
+            means = np.diff(sums[bounds]) / np.maximum(np.diff(bounds), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(means), pa.float64())], names=["doc_id", "score"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double")
 
