@@ -25,7 +25,8 @@ WIDTH = 20
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Words whose windows a task sorts at a time.
 CHUNK_WORDS = 1 << 19
-M64 = (1 << 64) - 1
+#: Repeated windows that a task holds before it reports them.
+HELD_REPEATS = 1 << 21
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -124,22 +125,32 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, chunk_words: int = C
     smallest; or the same document, earlier). Documents without such a window are absent. Rows of one doc_id count as
     one document: what repeats in one of them at another start, or elsewhere before, is removed from each of them."""
     n = partitions(docs.sparkSession)
-    buckets = 4 * n
+    buckets = 2 * n
 
     def repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            doc, start = (np.concatenate([x[j] for x in held]) for j in range(2))
+            cell = doc_cell(doc, buckets)
+            order = np.lexsort((start, doc, cell))
+            cell, doc, start = cell[order], doc[order], start[order]
+            bounds = list(zip(*runs(cell), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([int(cell[s]) for s, _ in bounds], pa.int32()), pa.array([pack(d=doc[s:e], s=start[s:e]) for s, e in bounds], pa.binary())], names=["cell", "data"])
+
         for _, rows in grouped(batches):
             fresh = [unpack(r[2], np.uint64, np.int64, np.uint32) for r in rows if not r[1]]
-            known = [unpack(r[2], np.uint64, np.int64, np.uint32)[1:] for r in rows if r[1]]
+            held += [tuple(unpack(r[2], np.uint64, np.int64, np.uint32)[1:]) for r in rows if r[1]]
             if fresh:
                 h, doc, start = (np.concatenate([f[j] for f in fresh]) for j in range(3))
                 later = firsts(h, doc, start)[1]
-                known.append([doc[later], start[later]])
-            doc, start = (np.concatenate([k[j] for k in known]) for j in range(2))
-            cell = doc_cell(doc, buckets)
-            order = np.lexsort((start, doc, cell))
-            cell, doc, start = cell[order], doc[order], start[order]
-            bounds = list(zip(*runs(cell), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(cell[s]) for s, _ in bounds], pa.int32()), pa.array([pack(d=doc[s:e], s=start[s:e]) for s, e in bounds], pa.binary())], names=["cell", "data"])
+                held.append((doc[later], start[later]))
+            # a task reports what it has found once, or whenever it holds this much
+            if sum(len(x[0]) for x in held) >= HELD_REPEATS:
+                yield out()
+                held = []
+        if held:
+            yield out()
 
     def intervals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches):
@@ -159,10 +170,18 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, chunk_words: int = C
     return arrow_map(found.repartition(n, "cell").sortWithinPartitions("cell"), intervals, "doc_id long, starts array<int>, ends array<int>")
 
 
-def with_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with the columns starts and ends, null where nothing is removed; columns of docs of those names must not be."""
-    found = materialise(repeated_intervals(docs, width), "intervals").withColumnRenamed("doc_id", "interval_doc")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("interval_doc")), "left").drop("interval_doc")
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def with_intervals(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, str, str]:
+    """docs with word intervals to remove, null where there are none, and the names of the two columns that hold them."""
+    starts, ends, own = (free_name(docs, n) for n in ("starts", "ends", "interval_doc"))
+    found = materialise(repeated_intervals(docs, width), "intervals").toDF(own, starts, ends)
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[own]), "left").drop(own), starts, ends
 
 
 def kept_words(words: list[bytes], starts: list[int] | None, ends: list[int] | None) -> list[bytes]:
@@ -190,26 +209,26 @@ def substring_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(with_intervals(source, width).select("doc_id", "text", "starts", "ends"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined, starts, ends = with_intervals(source, width)
+    return arrow_map(joined.select("doc_id", "text", starts, ends), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the repeated words cut out of text, kept words joined by one space, and n_chars set to the new length
     where that column is there. Texts without a repeated window stay as they are, to the byte; other columns too."""
-    columns = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*columns, F.col("text").cast("string").alias("text"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends")).schema
-    joined = with_intervals(docs.select(*columns, F.col("text").cast("string").alias("text")), width)
+    source = docs.withColumn("text", F.col("text").cast("string"))
+    joined, starts, ends = with_intervals(source, width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
             texts = batch.column(k).to_pylist()
-            for i, (s, e) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
+            for i, (s, e) in enumerate(zip(batch.column(starts).to_pylist(), batch.column(ends).to_pylist(), strict=True)):
                 if s:
                     texts[i] = b" ".join(kept_words(words_of(texts[i].encode()), s, e)).decode()
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, joined.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("starts").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(starts).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
