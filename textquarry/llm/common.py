@@ -49,6 +49,17 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % HOLDOUT_MOD
 
 
+def spread_sample(rows: DataFrame, column: str, sizes: dict, per_value: int) -> DataFrame:
+    """Rows of about `per_value` different ids for each value of a column (all, where there are fewer): those whose id's
+    hash lies below the share that is wanted. A filter, so nothing is shuffled and no value's rows meet in one task."""
+    scale = 1 << 40
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
+    limit = F.lit(0).cast("long")
+    for value, n in sizes.items():
+        limit = F.when(F.col(column) == value, F.lit(min(scale, -(-scale * per_value // n)))).otherwise(limit)
+    return rows.where(share < limit)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -13,13 +13,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, text_strings
+from .common import arrow_map, fold, spread_sample, text_strings
 
 BUCKETS = 1 << 16
-#: Labelled texts of each language that are learned from, by smallest hash of the id. A bound: more change little.
+#: Labelled texts of each language that are learned from, about, by smallest hash of the id. A bound: more change little.
 SAMPLE_PER_LANGUAGE = 600
 #: Languages at most; the commonest labels are taken.
 MAX_LANGUAGES = 64
@@ -110,12 +110,12 @@ def identify(model: Model, texts: list[str], penalty: float = 2.0, set_size: int
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
     """Trigram counts of a bounded sample of the rows with a language outside the held-out fold."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(fold() != 0)
-    languages = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = known.where(F.col("lang").isin(languages)).withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id").distinct()
-    # at most max_languages x per_language ids
+    # about max_languages x per_language ids at most
+    sample = spread_sample(known, "lang", sizes, per_language).select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left_semi").where(F.col("lang").isin(languages)).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

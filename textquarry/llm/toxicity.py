@@ -14,15 +14,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, arrow_map, fold, kept_in_worker, split_words, text_slices
+from .common import WordMemo, arrow_map, fold, kept_in_worker, split_words, spread_sample, text_slices
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 SHORTEST, LONGEST = 3, 5
-#: Labelled documents of each class that are trained on, by smallest hash of the id. A bound: more change little.
+#: Labelled documents of each class that are trained on, about, by smallest hash of the id. A bound: more change little.
 SAMPLE_PER_CLASS = 1500
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.05, 7
 #: One document in so many of the sample is kept from training and used to calibrate.
@@ -152,9 +152,8 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     if len(counts) < 2:
         share = 0.01 if not counts else 0.99 if 1 in counts else 0.01
         return Model(np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share))))
-    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = known.withColumn("nth", nth).where(F.col("nth") <= per_class).select("doc_id", "y")
-    # at most two classes x per_class rows
+    # about two classes x per_class rows at most
+    sample = spread_sample(known, "y", counts, per_class).select("doc_id", "y")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "y").select("text", "y").collect()
     y = np.array([r.y for r in picked], np.int64)
     seen = np.bincount(y, minlength=2)
