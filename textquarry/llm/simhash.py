@@ -187,17 +187,28 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 3, distance: int =
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketches(docs: DataFrame, seeds: tuple[int, ...], shingle: int) -> DataFrame:
-    """(doc_id, text_hash, fps): the XXH64 pair of the lower-cased words and a fingerprint of `shingle`-word shingles by each seed."""
+def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes of the same shingles by another function: `number` mixed in by shifts and odd multipliers; 0 leaves them."""
+    if not number:
+        return hashes
+    h = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketches(docs: DataFrame, prints: int, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, fps): the XXH64 pair of the lower-cased words and `prints` fingerprints of `shingle`-word shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, prints = [], []
+            names, found = [], []
             for t in text_bytes(batch.column(1)):
                 words = b" ".join(words_of(t.lower()))
                 names.append(f"{xxh64_intdigest(words, 1):016x}{xxh64_intdigest(words, 2):016x}")
-                prints.append([fingerprint(shingle_hashes(t, shingle, s)) - (1 << 63) for s in seeds])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fps"])
+                hashes = shingle_hashes(t, shingle)
+                found.append([fingerprint(mixed(hashes, k)) - (1 << 63) for k in range(prints)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fps"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, text_hash string, fps array<long>")
 
@@ -228,18 +239,18 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int = 5, similarit
     return arrow_map(joined, compare, "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, seeds: tuple[int, ...] = (42, 43, 44), distance: int = 3, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, prints: int = 4, nominate: int = 2, distance: int = 3, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, group_id) of near duplicates; group_id is the smallest doc_id of the group.
 
-    Fingerprints of single words by several seeds nominate pairs, as edits move them less than those of long shingles;
-    a pair links only if the Jaccard similarity of its five-word shingles is 0.8 or more. Texts of equal words are one.
+    Several fingerprints of two-word shingles nominate pairs, as edits move them less than those of long shingles; a pair
+    links only if the Jaccard similarity of its five-word shingles is 0.8 or more. Texts of equal words are one.
     Null and empty texts are equal texts. Rows of a null doc_id stay alone (group_id null); rows of one id are one document.
     """
     known = docs.where("doc_id is not null")
-    rows = materialise(sketches(known, seeds, 1), "sketches")
+    rows = materialise(sketches(known, prints, nominate), "sketches")
     texts = materialise(rows.groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min_by("fps", "doc_id").alias("fps")), "texts")
     nominated = None
-    for k in range(len(seeds)):
+    for k in range(prints):
         one = texts.select("node", F.col("fps")[k].alias("fp"))
         first = materialise(one.groupBy("fp").agg(F.min("node").alias("node")), "first")
         same = one.join(first.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
