@@ -19,6 +19,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def dealt_out(df: DataFrame, row_group_bytes: int = 128 << 20) -> DataFrame:
+    """df over all cores if it is so small that its files hold fewer row groups than there are cores; else as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * row_group_bytes else df
+
+
 def columns_like(df: DataFrame, pattern: str) -> list[str]:
     return [c for c in df.columns if re.search(pattern, c, re.IGNORECASE)]
 
