@@ -63,7 +63,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring": OP10_SQL}
+    return {"op5_sharding": op5_sql(), "op10_substring": OP10_SQL}
+
+
+def op5_sql(shards: int = 40, slots: int = sharding.SLOTS) -> str:
+    """Slots by md5, the two maps as lists, places by windows, and crc32 byte by byte from its polynomial."""
+    now = sharding.slot_map(shards, slots)
+    return rf"""
+WITH t AS (
+  SELECT list(list_reduce(list_prepend(CAST(n AS BIGINT), list_transform(range(8), lambda k: 0::BIGINT)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS tab FROM range(256) AS r(n)
+), maps AS (
+  SELECT unnest(range({slots})) AS vslot, unnest({now}) AS shard, unnest({sharding.grown(now, shards)}) AS grown_shard
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {slots} AS vslot FROM documents
+), coded AS (
+  SELECT *, list_transform(list_filter(string_split(regexp_replace(hex(text), '(..)', '\1 ', 'g'), ' '), lambda h: h <> ''), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM d
+), summed AS (
+  SELECT doc_id, size, vslot, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM coded, t
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id, size, text_crc32) - 1 AS slot, grown_shard, CAST(vslot AS INTEGER) AS vslot,
+       CAST(sum(size) OVER (PARTITION BY vslot) AS BIGINT) AS vslot_bytes
+FROM summed JOIN maps USING (vslot)"""
 
 
 #: Words, windows and removal as the contract states them, by plain window equality.
