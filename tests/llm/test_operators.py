@@ -228,10 +228,10 @@ def test_language(spark):
     make = {"xx": ("thing", "and", "thetion", "wher"), "yy": ("ung", "schen", "keit", "über")}
     rows = [(i, " ".join(rng.choice(make[l]) for _ in range(30)), l) for i, l in enumerate(["xx", "yy"] * 40)]
     mixed = " ".join(["thing and thetion wher"] * 5 + ["ung schen keit"] * 15)
-    rows += [(100, None, None), (101, "", None), (102, "12 !? 3", None), (103, mixed, None), (104, "über keit ung", None)]
+    rows += [(100, None, None), (101, "", None), (102, "12 !? 3", None), (103, mixed, None), (104, "über keit ung", None), (105, "½ ²", None)]
     got = {r.doc_id: r for r in langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i].lang_pred == l for i, _, l in rows[:80])
-    assert [got[i].lang_pred for i in (100, 101, 102, 104)] == ["und", "und", "und", "yy"]
+    assert [got[i].lang_pred for i in (100, 101, 102, 104, 105)] == ["und", "und", "und", "yy", "und"]
     assert got[103].lang_pred == "yy" and {x.lang for x in got[103].languages} == {"xx", "yy"} and 0.5 < got[103].score < 0.9
     assert all(0 <= r.score <= 1 for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())

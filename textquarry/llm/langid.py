@@ -40,6 +40,12 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bucket[inside], np.flatnonzero(begins[inside])
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; most texts are decided by their first."""
+    found = LETTER(text)
+    return found is not None and (found.group().isalpha() or any(map(str.isalpha, text)))
+
+
 class Model:
     """Languages and the log-likelihood of each trigram bucket in each of them."""
 
@@ -80,7 +86,7 @@ def identify(model: Model, texts: list[str], penalty: float = 2.0, set_size: int
     """Language, score and the chosen languages with their proportions of each text."""
     like, _, sizes = model.likelihoods(texts)
     names, scores, sets = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-    rows = np.flatnonzero((sizes > 0) & np.array([LETTER(t) is not None for t in texts], bool)) if texts else np.zeros(0, int)
+    rows = np.flatnonzero((sizes > 0) & np.array([has_letter(t) for t in texts], bool)) if texts else np.zeros(0, int)
     if not len(rows) or not model.languages:
         return names, scores, sets
     if len(rows) < (sizes > 0).sum():
