@@ -27,8 +27,10 @@ MAGIC = b"TQDAC1\0\0"
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 #: Distinct words whose ids a worker keeps; it starts anew beyond that.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 500_000
 END_ID = 2
+#: Text that a worker splits at a time; arrays over its words are several times as large.
+SLICE_BYTES = 1 << 21
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -159,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([{"part": number, "segment": count, "first_doc": int(doc_ids[0]), "local_start": at, "n_tokens": len(ids), "payload": payload}], schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first_doc", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-        for batch in (part for whole in rows for part in text_slices(whole, 1)):
+        for batch in (part for whole in rows for part in text_slices(whole, 1, SLICE_BYTES)):
             ids, lengths = with_end(*encoder.encode(batch.column(1)), end_id)
             kept.append((id_array(batch.column(0)), lengths, ids))
             if sum(len(k[2]) for k in kept) >= segment_tokens:
