@@ -125,6 +125,57 @@ def test_simhash_stage_keeps_one_of_each_group(docs):
     assert all(i in kept for i in range(0, 90, 3))
 
 
+def shingle_set(text: str, size: int = 5) -> set:
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def edited(rng: random.Random, text: str, edits: int) -> str:
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def brute_similar_components(texts: dict[int, str]) -> tuple[dict[int, int], list[float]]:
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    root, linked = {i: i for i in texts}, []
+    for b in sorted(texts):
+        for a in (i for i in texts if i < b):
+            both = len(sets[a] & sets[b])
+            j = both / (len(sets[a]) + len(sets[b]) - both)
+            if j >= 0.8:
+                linked.append(j)
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return root, linked
+
+
+def test_near_duplicate_groups_reach_every_pair_of_the_similarity(spark):
+    """Pairs of all similarities from under 0.8 to 1 against brute force."""
+    rng = random.Random(12)
+    base = [sentence(rng, rng.randint(120, 300)) for _ in range(60)]
+    texts = dict(enumerate(base + [edited(rng, t, 1 + i % 8) for i, t in enumerate(base)]))
+    want, linked = brute_similar_components(texts)
+    assert all(sum(lo <= j < lo + 0.05 for j in linked) >= 3 for lo in (0.8, 0.85, 0.9, 0.95)) and len(linked) < 60
+    got = simhash.near_duplicate_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in got} == want
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_limit": 3}])
+def test_near_duplicate_groups_of_crowded_buckets(spark, options):
+    """Copies of one text that are similar to some of the others only, in buckets beyond the limit, against brute force."""
+    rng = random.Random(13)
+    base = sentence(rng, 400)
+    texts = {0: base}
+    for i in range(1, 90):
+        texts[i] = edited(rng, base if i % 3 else texts[rng.randrange(i)], rng.randint(6, 14))
+    want, _ = brute_similar_components(texts)
+    assert 5 < len(set(want.values())) < 85
+    got = simhash.near_duplicate_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **options).collect()
+    assert {r.doc_id: r.group_id for r in got} == want
+
+
 def test_toxicity_learns_and_generalises():
     rng = random.Random(3)
     bad = ["idiot", "moron", "worthless"]

@@ -11,6 +11,7 @@ level, until a bucket can hold no more than `bucket_limit` different fingerprint
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -25,6 +26,9 @@ from .common import arrow_map, components, materialise, partitions, runs, text_b
 SEED = 42
 #: Fingerprints that are compared with each other within one bucket; larger buckets are dealt again.
 BUCKET_LIMIT = 4096
+#: Texts that share a leading shingle and are all paired with each other; of more, some at a time are paired with all.
+PAIRED = 32
+PARITY_BITS = 2048
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
@@ -187,39 +191,148 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 3, distance: int =
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
-    """Hashes of the same shingles by another function: `number` mixed in by shifts and odd multipliers; 0 leaves them."""
-    if not number:
+def text_node(text: bytes) -> int:
+    """XXH64 of the lower-cased words as a signed long: texts of equal words are one node."""
+    return xxh64_intdigest(b" ".join(words_of(text.lower())), 1) - (1 << 63)
+
+
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """PARITY_BITS bits, each the parity of the hashes that fall on it: two such differ in no more bits than the sets in members."""
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several of about `sample` documents, the `most` commonest at most, sorted, with their counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in text_bytes(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle)).view(np.int64))], names=["shingle"])
+
+    scale = 1 << 40
+    share = min(scale, scale * sample // max(1, docs.count()))
+    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).select(F.col("text").cast("string").alias("text"))
+    counted = arrow_map(texts, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
+    h, n = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def leading(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """So many of a set's shingles, the rarest first, that any set of that Jaccard similarity shares one of its own leading ones."""
+    if not len(hashes):
         return hashes
-    h = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    known, counts = common
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-def sketches(docs: DataFrame, prints: int, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, fps): the XXH64 pair of the lower-cased words and `prints` fingerprints of `shingle`-word shingles."""
+def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, node, size, parity, leads): a text's node, the size and parity bits of its set of shingles, its leading ones."""
+    shipped = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, found = [], []
+            nodes, sizes, parities, leads = [], [], [], []
             for t in text_bytes(batch.column(1)):
-                words = b" ".join(words_of(t.lower()))
-                names.append(f"{xxh64_intdigest(words, 1):016x}{xxh64_intdigest(words, 2):016x}")
-                hashes = shingle_hashes(t, shingle)
-                found.append([fingerprint(mixed(hashes, k)) - (1 << 63) for k in range(prints)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fps"])
+                hashes = np.unique(shingle_hashes(t, shingle))
+                nodes.append(text_node(t))
+                sizes.append(len(hashes))
+                parities.append(parity_bits(hashes))
+                leads.append(leading(hashes, shipped.value, similarity).view(np.int64))
+            arrays = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(leads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "size", "parity", "leads"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, node long, size long, parity binary, leads array<long>")
+
+
+def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of longs of rows sorted by the first, cut only where that changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if held and (cut or held[-1][0][-1] != columns[0][0]):
+            held.append([c[:cut] for c in columns])
+            yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in columns]
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
+
+
+def pair_buckets(pivots: int, limit: int, similarity: float):
+    """Scan rows (key, node, size, label) sorted by key; give (a, b, size, key): a pair to check, or b null for a member that
+    stays in its bucket.
+
+    Pairs of one label, or of sizes too far apart, need no check. Up to `limit` members are paired with each other. Of more,
+    `pivots` members, of the smallest labels first, are paired with all others and leave; the others stay if labels differ.
+    """
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, text_hash string, fps array<long>")
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
 
+    def out(a: np.ndarray, b: np.ndarray | None, size: np.ndarray | None = None, key: np.ndarray | None = None) -> pa.RecordBatch:
+        empty = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), *(empty if x is None else pa.array(x) for x in (b, size, key))], names=["a", "b", "size", "key"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, size, label in whole_buckets(batches):
+            starts, ends = runs(key)
+            small = np.repeat(ends - starts <= limit, ends - starts)
+            k, v, n, l = key[small], node[small], size[small], label[small]
+            for apart in range(1, limit):
+                same = k[:-apart] == k[apart:]
+                if not same.any():
+                    break
+                i = np.flatnonzero(same & (l[:-apart] != l[apart:]) & fits(n[:-apart], n[apart:]))
+                if len(i):
+                    yield out(np.minimum(v[i], v[i + apart]), np.maximum(v[i], v[i + apart]))
+            for s, e in zip(starts[ends - starts > limit], ends[ends - starts > limit], strict=True):
+                _, which, members = np.unique(label[s:e], return_inverse=True, return_counts=True)
+                order = np.lexsort((node[s:e], np.abs(size[s:e] - np.median(size[s:e])), which, members[which])) + s
+                v, n, l = node[order], size[order], label[order]
+                if len(members) == 1:
+                    continue
+                done = min(pivots, len(v))
+                for p in range(done):
+                    ok = (l[p + 1 :] != l[p]) & fits(n[p + 1 :], n[p])
+                    other = v[p + 1 :][ok]
+                    if len(other):
+                        yield out(np.minimum(other, v[p]), np.maximum(other, v[p]))
+                if len(np.unique(l[done:])) > 1:
+                    yield out(v[done:], None, n[done:], key[s : s + len(v) - done])
+
+    return run
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose sets of `shingle`-word shingles have that Jaccard similarity at least."""
+
+def similar_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of `shingle`-word shingles have that Jaccard similarity at least.
+
+    texts has (node, first_id, size, parity). Shingle sets are shipped only for pairs that parity bits do not rule out.
+    """
+
+    def possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) if len(batch) else np.zeros(0, np.int64)
+            total = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            ok = apart <= total * ((1 - similarity) / (1 + similarity)) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in enumerate(text_bytes(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes()], pa.binary())], names=["doc_id", "shingles"])
+            for t in text_bytes(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([text_node(t)], pa.int64()), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes()], pa.binary())], names=["node", "shingles"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,38 +343,47 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int = 5, similarit
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = materialise(pairs.distinct(), "pairs")
-    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named, "doc_id", "left_semi")
-    of = materialise(arrow_map(texts, sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
-    left = materialise(pairs.join(of.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a"), "pairs")
-    joined = left.join(of.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return arrow_map(joined, compare, "a long, b long")
+    one = materialise(pairs.distinct().join(texts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("parity").alias("x")), "a"), "pairs")
+    both = one.join(texts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("parity").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+    pairs = materialise(arrow_map(both, possible, "a long, b long"), "pairs")
+    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    ids = materialise(texts.join(named, "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
+    of_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").select("text")
+    of = materialise(arrow_map(of_ids, sets, "node long, shingles binary").dropDuplicates(["node"]).join(named, "node", "left_semi"), "shingles")
+    left = materialise(pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"), "pairs")
+    joined = left.join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return materialise(arrow_map(joined, compare, "a long, b long"), "similar")
 
 
-def near_duplicate_groups(docs: DataFrame, prints: int = 4, nominate: int = 2, distance: int = 3, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = PAIRED) -> DataFrame:
     """(doc_id, group_id) of near duplicates; group_id is the smallest doc_id of the group.
 
-    Several fingerprints of two-word shingles nominate pairs, as edits move them less than those of long shingles; a pair
-    links only if the Jaccard similarity of its five-word shingles is 0.8 or more. Texts of equal words are one.
-    Null and empty texts are equal texts. Rows of a null doc_id stay alone (group_id null); rows of one id are one document.
+    Two texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Such sets share one of their
+    leading shingles in any common order, here the rarest first; so pairs of texts that share one are all there are to
+    check. In a bucket over `bucket_limit` some members at a time are checked against all others, until every pair of
+    members is checked or connected by links that were. Texts of equal words are one. Null and empty texts are equal texts.
+    Rows of a null doc_id stay alone (group_id null); rows of one id are one document.
     """
     known = docs.where("doc_id is not null")
-    rows = materialise(sketches(known, prints, nominate), "sketches")
-    texts = materialise(rows.groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min_by("fps", "doc_id").alias("fps")), "texts")
-    nominated = None
-    for k in range(prints):
-        one = texts.select("node", F.col("fps")[k].alias("fp"))
-        first = materialise(one.groupBy("fp").agg(F.min("node").alias("node")), "first")
-        same = one.join(first.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-        links = link_fingerprints(first, distance, bucket_limit)
-        by_a = materialise(links.join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").select("x", "b"), "links")
-        between = by_a.join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(between)
-        nominated = pairs if nominated is None else nominated.union(pairs)
-    roots = components(similar_pairs(known, nominated, shingle, similarity))
-    groups = materialise(texts.select("text_hash", "node").join(roots, "node", "left").select("text_hash", F.coalesce("root", "node").alias("group_id")), "groups")
-    own = rows.join(groups, "text_hash").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    n = partitions(docs.sparkSession)
+    rows = materialise(sketches(known, shingle, similarity), "sketches")
+    texts = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value(F.struct("size", "parity", "leads")).alias("of")).select("node", "first_id", "of.*"), "texts")
+    left = texts.select(F.explode("leads").alias("key"), "node", "size", F.col("node").alias("label"))
+    links, roots, pivots = None, None, 1
+    while True:
+        dealt = left.repartition(n, "key").sortWithinPartitions("key")
+        found = materialise(arrow_map(dealt, pair_buckets(pivots, bucket_limit, similarity), "a long, b long, size long, key long"), "found")
+        new = similar_pairs(known, texts, found.where("b is not null").select("a", "b"), shingle, similarity)
+        links = new if links is None else links.union(new)
+        roots = materialise(components(links), "roots")
+        stay = found.where("b is null")
+        if stay.isEmpty():
+            break
+        left = stay.select("key", F.col("a").alias("node"), "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("label"))
+        pivots *= 16
+    named = materialise(rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "named")
+    smallest = materialise(named.groupBy("root").agg(F.min("doc_id").alias("group_id")), "smallest")
+    own = named.join(smallest, "root").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
     return own.union(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long")))
 
 
