@@ -307,6 +307,28 @@ def test_decontamination(spark):
     assert decontam.contaminated(spark.createDataFrame([(1, broken)], "doc_id long, text string"), bench).count() == 0
 
 
+def test_decontamination_finds_verbatim_items_of_names_numbers_and_capitals(spark):
+    rng = random.Random(14)
+    items = [
+        "What is 12 + 35 - 7 + 18 * 4 - 6 + 90 / 5 + 11 ?",
+        "WHICH OF THE FOLLOWING PLANETS HAS THE LARGEST NUMBER OF KNOWN MOONS IN ALL OF THE SYSTEM ?",
+        "Alice paid Bob $12, Carol paid Dave $15, Erin paid Frank $18, Grace paid Heidi $21, Ivan paid Judy $24.",
+        "In 1815 Napoleon fought Wellington at Waterloo, Blücher joined Wellington and Ney led Napoleon's Guard.",
+    ]
+    docs = [(i, sentence(rng, 30) + " " + t + " " + sentence(rng, 30)) for i, t in enumerate(items)] + [(9, sentence(rng, 80))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(4)}
+    assert all(r.exact and r.coverage == 1 for r in got)
+
+
+def test_decontamination_takes_a_short_items_first_word_either_way(spark):
+    rng = random.Random(15)
+    items = [(0, "Name the capital of northern Peru"), (1, "Explain how rivers form deltas")]
+    docs = [(i, sentence(rng, 20) + " " + t + " " + sentence(rng, 20)) for i, t in items] + [(5, sentence(rng, 50))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1)}
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, labels = [], []

@@ -23,7 +23,7 @@ from xxhash import xxh64_intdigest
 from .common import WordMemo, arrow_map, kept_in_worker, materialise, split_words, text_slices
 from .substring import window_hashes
 
-#: Words in a window, literal words that it must hold, words of a matched passage from which a document counts as
+#: Words in a window, literal words that it must hold to match by placeholders, words of a matched passage from which a document counts as
 #: contaminated, and the share of a shorter item's windows.
 WINDOW, LITERAL_SHARE, PASSAGE_WORDS, SHARE = 8, 0.6, 13, 0.5
 #: Items of fewer words are not looked for.
@@ -48,11 +48,13 @@ def template(word: bytes) -> bytes:
     return np.array([(xxh64_intdigest((core or text).lower().encode(), 3), kind, ends)], TEMPLATE).tobytes()
 
 
-def templates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Template hash and placeholder kind (0: literal) of the words of one text in a row."""
+def templates(rows: np.ndarray, first_names: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Template hash and placeholder kind (0: literal) of the words of one text in a row; with first_names a capitalised
+    first word of a sentence is a name too."""
     kind = rows["kind"].copy()
     first = np.r_[True, rows["ends"][:-1] > 0] if len(rows) else np.zeros(0, bool)
-    kind[(kind == NAME) & first] = 0
+    if not first_names:
+        kind[(kind == NAME) & first] = 0
     kind[(kind == UNIT) & ~np.r_[False, kind[:-1] == NUMBER][: len(kind)]] = 0
     out = rows["hash"].copy()
     for k, h in KINDS.items():
@@ -64,9 +66,20 @@ def filter_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits - 1)).astype(np.int64)
 
 
+def within(marks: np.ndarray, width: int) -> np.ndarray:
+    """How many of marks[i:i+width] are set, for every i that has so many."""
+    total = np.r_[0, np.cumsum(marks)]
+    return total[width:] - total[:-width]
+
+
 def windows(table: DataFrame, key: str, widths: list[int] | None, shipped=None) -> DataFrame:
-    """(key, width, hash, at, n_windows, slots) of windows of enough literal words; widths None: WINDOW, or the whole of a
-    shorter text. With a shipped filter, of those that it passes alone. Slots are the values under placeholders, by place."""
+    """(key, width, hash, at, n_windows, n_typed, counts, verbatim, slots) of windows; widths None: WINDOW, or the whole of a
+    shorter text. With a shipped filter, of those that it passes alone.
+
+    Every window is there by its lower-cased words (verbatim, no slots), and by its template if that has placeholders and
+    enough literal words, with sentences' first words as words and as names. Slots are the values under placeholders, by
+    place; counts: the window has enough literal words as it is, as n_typed of the text's n_windows have.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = kept_in_worker("templates", lambda: WordMemo(lambda v: [template(w) for w in v], MEMO_WORDS))
@@ -76,24 +89,34 @@ def windows(table: DataFrame, key: str, widths: list[int] | None, shipped=None)
             records = np.frombuffer(b"".join(memo.get(distinct)), TEMPLATE)
             rows = []
             for k, s, e in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                h, kind = templates(records[index[s:e]])
-                literal = np.r_[0, np.cumsum(kind == 0)]
+                records_here = records[index[s:e]]
+                typed, kind = templates(records_here)
+                named, named_kind = templates(records_here, True)
+                forms = [(records_here["hash"].copy(), None), (typed, kind)] + [(named, named_kind)] * bool((named_kind != kind).any())
                 for width in [min(WINDOW, e - s)] if widths is None else widths:
                     if width < LEAST_WORDS or e - s < width:
                         continue
-                    found = window_hashes(h, width)
-                    ok = literal[width:] - literal[:-width] >= math.ceil(LITERAL_SHARE * width)
-                    if bits is not None:
-                        a, b = filter_places(found, len(bits) * 8)
-                        ok &= (bits[a >> 3] >> (a & 7) & 1 > 0) & (bits[b >> 3] >> (b & 7) & 1 > 0)
-                    n = int(ok.sum())
-                    for p in np.flatnonzero(ok).tolist():
-                        slots = [f"{kind[i]}:{EDGE('', distinct[index[s + i]].decode()).lower()}" for i in range(p, p + width) if kind[i]]
-                        rows.append({"key": k, "width": width, "hash": int(found[p].astype(np.int64)), "at": p, "n_windows": n, "slots": slots})
+                    least = math.ceil(LITERAL_SHARE * width)
+                    counts = within(kind == 0, width) >= least
+                    n, n_typed = e - s - width + 1, int(counts.sum())
+                    for h, kinds in forms:
+                        found = window_hashes(h, width)
+                        ok = np.ones(n, bool)
+                        if kinds is not None:
+                            literal = within(kinds == 0, width)
+                            ok = (literal >= least) & (literal < width)
+                            if kinds is named_kind:
+                                ok &= within(named_kind != kind, width) > 0
+                        if bits is not None:
+                            a, b = filter_places(found, len(bits) * 8)
+                            ok &= (bits[a >> 3] >> (a & 7) & 1 > 0) & (bits[b >> 3] >> (b & 7) & 1 > 0)
+                        for p in np.flatnonzero(ok).tolist():
+                            slots = [] if kinds is None else [f"{kinds[i]}:{EDGE('', distinct[index[s + i]].decode()).lower()}" for i in range(p, p + width) if kinds[i]]
+                            rows.append({"key": k, "width": width, "hash": int(found[p].astype(np.int64)), "at": p, "n_windows": n, "n_typed": n_typed, "counts": bool(counts[p]), "verbatim": kinds is None, "slots": slots})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("key", pa.int64()), ("width", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.string()))])
-    return arrow_map(table.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text")), run, "key long, width int, hash long, at int, n_windows int, slots array<string>")
+    schema = pa.schema([("key", pa.int64()), ("width", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("n_windows", pa.int32()), ("n_typed", pa.int32()), ("counts", pa.bool_()), ("verbatim", pa.bool_()), ("slots", pa.list_(pa.string()))])
+    return arrow_map(table.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text")), run, "key long, width int, hash long, at int, n_windows int, n_typed int, counts boolean, verbatim boolean, slots array<string>")
 
 
 def window_filter(items: DataFrame, bits: int = FILTER_BITS) -> bytes:
@@ -118,7 +141,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     exact (every slot has the item's own value).
 
     A passage counts if its slots fit and it is 13 words or more, or half of the item's windows. Null and empty texts hold
-    nothing; items of fewer than four words, or without enough literal ones, are not looked for; rows with a null id are
+    nothing; items of fewer than four words are not looked for; those without enough literal words are found as they stand
+    alone; windows are the item's all, or those of enough literal words, by what covers it better; rows with a null id are
     left out; repeated rows count as one. Further columns are ignored.
     """
     spark = docs.sparkSession
@@ -127,15 +151,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted(r.width for r in items.select("width").distinct().collect())
     shipped = spark.sparkContext.broadcast(window_filter(items))
     hits = windows(docs.where("doc_id is not null"), "doc_id", widths, shipped).select(F.col("key").alias("doc_id"), "width", "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    pairs = hits.join(items.select("item_id", "width", "hash", "at", "n_windows", "slots"), ["width", "hash"])
-    filled = pairs.select("doc_id", "item_id", "width", "n_windows", "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")).alias("slots"))
-    passages = filled.groupBy("doc_id", "item_id", "n_windows", "width", "diagonal").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    pairs = hits.join(items.select("item_id", "width", "hash", "at", "n_windows", "n_typed", "counts", "verbatim", "slots"), ["width", "hash"])
+    # verbatim windows form passages of their own, which need no slots, and are part of those of templates too
+    filled = pairs.select("doc_id", "item_id", "width", "n_windows", "n_typed", "at", "counts", F.explode(F.when(F.col("verbatim"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("verbatim"), (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc")).alias("slots"))
+    passages = filled.groupBy("doc_id", "item_id", "n_windows", "n_typed", "width", "verbatim", "diagonal").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("verbatim") | F.col("counts"), F.col("at"))).alias("counted"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     fits = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
     same = F.forall("slots", lambda s: s["item"] == s["doc"])
     long_enough = (F.array_max("at") - F.array_min("at") + F.col("width") >= PASSAGE_WORDS) & (F.size("at") >= PASSAGE_WORDS - F.col("width") + 1)
-    whole = passages.where(fits).groupBy("doc_id", "item_id", "n_windows").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max(long_enough).alias("long_enough"), F.bool_and(same).alias("exact"))
-    coverage = F.size("at") / F.col("n_windows")
-    return whole.where(F.col("long_enough") | (coverage >= SHARE)).select("doc_id", "item_id", F.size("at").alias("matched_windows"), F.col("n_windows").alias("item_windows"), coverage.alias("coverage"), "exact")
+    whole = passages.where(fits).groupBy("doc_id", "item_id", "n_windows", "n_typed", "verbatim").agg(F.size(F.array_distinct(F.flatten(F.collect_list("counted")))).alias("matched_windows"), F.max(long_enough).alias("long_enough"), F.bool_and(same).alias("exact"))
+    of = F.when(F.col("verbatim"), F.col("n_windows")).otherwise(F.col("n_typed"))
+    covered = whole.select("doc_id", "item_id", "matched_windows", of.alias("item_windows"), F.when(of > 0, F.col("matched_windows") / of).otherwise(0.0).alias("coverage"), "long_enough", "exact")
+    counted = covered.where(F.col("long_enough") | (F.col("coverage") >= SHARE))
+    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched_windows", "item_windows")).alias("best"), F.bool_and("exact").alias("exact"))
+    return best.select("doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage", "exact")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
