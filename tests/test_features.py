@@ -218,3 +218,132 @@ def test_consistency_and_vectors(texts, spark):
     assert r[0].q_norm == pytest.approx(1) and r[1].r_norm == 0 and -1 <= r[0].cosine_sim <= 1
     pair = spark.createDataFrame([(0, [1.0, 2.0], [3.0, -1.0])], "user_id long, q array<double>, r array<double>")
     assert pair.select(stats.pairwise_block(F.col("q"), F.col("r"))).first()[0] == [1, 2, 3, -1, 2, 3, 3, -2]
+
+
+def brute_mtld(words, threshold=0.72):
+    """Factor by factor, one word at a time."""
+    if len(words) < 10:
+        return 0.0
+    ways = []
+    for way in (words, words[::-1]):
+        count, begin = 0.0, 0
+        for end in range(1, len(way) + 1):
+            part = way[begin:end]
+            share = len(set(part)) / len(part)
+            if share <= threshold:
+                count, begin, share = count + 1, end, 1.0
+        count += (1 - share) / (1 - threshold)
+        ways += [len(way) / count] if count else []
+    return sum(ways) / len(ways) if ways else 0.0
+
+
+def test_factors_against_a_word_at_a_time():
+    import random
+
+    rng = random.Random(1)
+    for n in (9, 10, 40, 300, 2000):
+        for types in (1, 3, 30, 400):
+            words = [f"w{rng.randrange(types)}" for _ in range(n)]
+            assert surface.mtld_of(words) == pytest.approx(brute_mtld(words)), (n, types)
+
+
+def test_syllables_of_all_words_at_once(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["e", "le", "ee", "lee", "ale", "blee", "table", "the", "rhythm", "x1", "well-known", "a'le", "1e", "apple"] + ["".join(rng.choice("aeiouylbtn-1'") for _ in range(rng.randint(1, 8))) + "e" for _ in range(300)]
+    words = [w for w in words if re.search("[A-Za-z]", w)]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(text.all_syllables(F.col("w"))).first()[0]
+    assert got == [syllables(w) for w in words]
+    assert spark.createDataFrame([([],)], "w array<string>").select(text.all_syllables(F.col("w"))).first()[0] == []
+
+
+def test_counted_pairs_are_the_words(texts):
+    keys = ["user_id", "file_id"]
+    for window, stride in ((1024, 512), (3, 3), (4, 2)):
+        words = language.positions(texts, keys, window=window, stride=stride)
+        want = {(r.user_id, r.prev, r.word): r["count"] for r in words.groupBy(*keys, "prev", "word").count().collect()}
+        got = {(r.user_id, r.prev, r.word): r.n for r in language.pair_counts(texts, keys, window=window, stride=stride).collect()}
+        assert got == want
+    starts = {r.pos for r in language.positions(texts, keys, window=3, stride=3).where("user_id = 9 and prev = '<s>'").collect()}
+    assert starts == {0, 3, 6, 9}  # no window that begins there has a word before
+    assert {r.pos for r in language.positions(texts, keys, window=4, stride=2).where("user_id = 9 and prev = '<s>'").collect()} == {0}
+
+
+def test_windows_score_each_place_once():
+    for window, stride in ((1024, 512), (8, 8), (8, 3)):
+        for n in (0, 1, 7, 8, 9, 100, 1500):
+            places = [p for b, e, k in language.scored_windows(n, window, stride) for p in range(e - k, e)]
+            assert places == list(range(n)) and all(0 <= b <= e - k and e - b <= window for b, e, k in language.scored_windows(n, window, stride))
+
+
+def test_integrated_ranks(texts):
+    keys = ["user_id", "file_id"]
+    pairs = language.pair_counts(texts, keys)
+    got = rows(language.integrated_ranks(pairs, language.bigram_model(pairs), texts, keys))
+    words = [w.lower() for t in TEXTS for w in WORD.findall(t)]
+    rank = {w: 1 + sum(words.count(x) > words.count(w) for x in set(words)) for w in set(words)}
+    for i, t in enumerate(TEXTS):
+        r = [rank[w.lower()] for w in WORD.findall(t)]
+        assert got[i].mean_rank == pytest.approx(statistics.mean(r) if r else 0) and got[i].median_rank == pytest.approx(statistics.median(r) if r else 0)
+        assert got[i].proportion_top100 == pytest.approx(sum(x <= 100 for x in r) / len(r) if r else 0)
+
+
+def test_sentiment_from_a_table_is_that_of_a_mapping(spark, texts):
+    lexicon = spark.createDataFrame([(w, *map(float, x)) for w, x in v.SENTIMENT.items()], "word string, valence double, polarity double, subjectivity double")
+    columns = ["user_id", "vader_compound", "vader_pos", "vader_neu", "vader_neg", "tb_polarity", "tb_subjectivity"]
+    assert sorted(surface.sentiment(texts, lexicon=lexicon).select(columns).collect()) == sorted(surface.sentiment(texts).select(columns).collect())
+
+
+@pytest.mark.parametrize(
+    ("sentence", "label", "words"),
+    [
+        ("We met Anna Smith there", "PERSON", "Anna Smith"), ("They work at NASA now", "ORG", "NASA"), ("The Acme Company paid", "ORG", "Acme Company"), ("He lives in Paris now", "GPE", "Paris"),
+        ("We crossed the Hudson River twice", "LOC", "Hudson River"), ("Many British people came", "NORP", "British"), ("We saw the Golden Bridge there", "FAC", "Golden Bridge"), ("After the Gulf War ended", "EVENT", "Gulf War"),
+        ('She read "Silent Spring" again', "WORK_OF_ART", "Silent Spring"), ("Under the Clean Air Act it", "LAW", "Clean Air Act"), ("She speaks French well", "LANGUAGE", "French"), ("He bought the Walkman 2 then", "PRODUCT", "Walkman"),
+        ("It was in 1999 again", "DATE", "1999"), ("We left at 10:30 again", "TIME", "10 : 30"), ("It rose 5 % then", "PERCENT", "5 %"), ("It cost $ 20 then", "MONEY", "20"), ("We ran 5 km then", "QUANTITY", "5 km"), ("The third try", "ORDINAL", "third"), ("We have 7 cats", "CARDINAL", "7"),
+    ],
+)
+def test_every_entity_label_can_occur(sentence, label, words):
+    tokens, entities = annotate.annotate_text(sentence)
+    assert (label, words) in [(e["label"], " ".join(t["text"] for t in tokens[e["start"] : e["end"]])) for e in entities]
+
+
+def test_tree_statistics_against_chains():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    heads, sents, want = [], [], []
+    for _ in range(40):
+        h, s, rows_ = [], [], []
+        for number in range(rng.randint(0, 4)):
+            base, n = len(h), rng.randint(1, 9)
+            order = rng.sample(range(n), n)
+            own = [base + order[rng.randrange(order.index(i))] if order.index(i) else base + i for i in range(n)]
+            h, s = h + own, s + [number] * n
+
+            def depth(i, own=own, base=base):
+                return 1 if own[i] == base + i else 1 + depth(own[i] - base)
+
+            gaps = [abs(base + i - own[i]) for i in range(n) if own[i] != base + i]
+            rows_.append((max(map(depth, range(n))), sum(gaps) / len(gaps) if gaps else 0, sum(own[i] == base + order[0] and i != order[0] for i in range(n))))
+        heads.append(np.array(h, int))
+        sents.append(np.array(s, int))
+        want.append(rows_)
+    got = annotate.tree_statistics(heads, sents)
+    assert [list(zip(d, g, c, strict=True)) for d, g, c in zip(got.depth, got.distance, got.children, strict=True)] == want
+
+
+def test_clip_block_without_questions(spark):
+    df = spark.createDataFrame([(0, 0, "some words now", "some words"), (1, 0, "", "other words"), (0, 1, " ", "more words"), (1, 1, None, "")], "user_id long, file_id long, question string, text string")
+    got = {(r.user_id, r.file_id): r for r in language.clip_block(df, language.hash_encoder(16), 16).collect()}
+    assert got[0, 0].clip_qr_cosine != 0 and got[0, 1].clip_qr_cosine == got[1, 1].clip_qr_cosine == 0
+    assert math.isclose(sum(got[0, 0][f"clip_dim_{k:03d}"] ** 2 for k in range(16)), 1) and got[1, 1].clip_dim_003 == 0
+
+
+def test_truncation_by_tokens(spark):
+    df = spark.createDataFrame([(0, "a bc def"), (1, ""), (2, None)], "user_id long, text string")
+    got = rows(language.truncate_tokens(df, list, "".join, 4))
+    assert [got[i].truncated for i in range(3)] == ["a bc", "", None]

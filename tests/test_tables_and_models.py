@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -154,3 +157,43 @@ def test_entry_point_without_optional_operators():
     import __spark_entry__
 
     assert set(registry.queries()) <= set(__spark_entry__.queries()) and set(registry.oracle_sql()) <= set(__spark_entry__.oracle_sql())
+
+
+def test_nothing_else_needs_the_optional_operators(tmp_path):
+    """In a copy without their folders the entry point imports and has every other query."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    assert not (copy / "textquarry" / "llm").exists()
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))]
+
+
+def test_combos_name_what_is_missing(spark):
+    df = rated(spark)
+    with pytest.raises(ValueError, match="none"):
+        modeling.combo_sweep(df, {"one": ["a", "none"]}, trees=2, strict=True)
+    summary, _ = modeling.combo_sweep(df, {"one": ["a"]}, trees=2, extra=["b"], strict=True)
+    assert summary.first().n_features == 2
+
+
+def test_components_rebuild_the_block(spark):
+    """As many components as dimensions are a rotation of the scaled block: distances between rows stay, and columns are
+    uncorrelated over the rows that they were fitted on."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+    df = modeling.with_split(spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "user_id long, file_id long, block array<double>"), ["user_id", "file_id"])
+    out = modeling.with_components(df, "block", most=5).toPandas().sort_values("user_id")
+    train = (out.split == "train").to_numpy()
+    scaled = (x - x[train].mean(axis=0)) / x[train].std(axis=0, ddof=1)
+    got = np.stack(out.pca.to_list())
+    assert np.allclose(((scaled[:, None] - scaled[None]) ** 2).sum(-1), ((got[:, None] - got[None]) ** 2).sum(-1), atol=1e-6)
+    cov = np.cov(got[train].T)
+    assert np.allclose(cov - np.diag(np.diag(cov)), 0, atol=1e-6) and (np.diff(np.diag(cov)) <= 1e-9).all()
+
+
+def test_output_places(spark):
+    df = spark.createDataFrame([(1, 0, 4.123456, 1.23456789, 2.345678, 0.123456)], "user_id long, file_id long, rating double, perplexity double, pred_rating double, proportion_top10 double")
+    assert tables.places_of(df, "perplexity") == {"perplexity": 3, "pred_rating": 2, "proportion_top10": 4}
+    assert tables.places_of(df) == {"perplexity": 4, "pred_rating": 2, "proportion_top10": 4}

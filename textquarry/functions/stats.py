@@ -26,9 +26,20 @@ def mean(array: Column) -> Column:
     return F.when(F.size(array) > 0, total(array) / F.size(array)).otherwise(0.0)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def population_std(array: Column) -> Column:
-    m = mean(array)
-    return F.when(F.size(array) > 0, F.sqrt(F.aggregate(array, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(array))).otherwise(0.0)
+    """By running means, in one pass."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+    def step(s: Column, x: Column) -> Column:
+        moved = s["m"] + (x - s["m"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), moved.alias("m"), (s["q"] + (x - s["m"]) * (x - moved)).alias("q"))
+
+    return F.aggregate(array, start, step, lambda s: F.when(s["n"] > 0, F.sqrt(s["q"] / s["n"])).otherwise(0.0))
 
 
 def maximum(array: Column) -> Column:
@@ -48,11 +59,17 @@ def entropy(shares: Column, epsilon: float = EPSILON) -> Column:
     return -F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda s, p: s + p * F.log2(p))
 
 
+def run_lengths(ordered: Column, same=lambda a, b: a == b) -> Column:
+    """Lengths of the runs of like values of an array: distances between the places where one begins."""
+    n = F.size(ordered)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: (i == 0) | ~same(ordered[i], ordered[F.greatest(i - 1, F.lit(0))]))
+    return bound(begins, lambda b: F.transform(b, lambda at, k: F.coalesce(F.get(b, k + 1), n) - at))
+
+
 def frequencies(array: Column) -> Column:
-    """Counts of the distinct values of an array: lengths of the runs of its sorted values, in one pass."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("counts"))
-    step = lambda s, x: F.when(s["last"] == x, F.struct(x.alias("last"), (s["run"] + 1).alias("run"), s["counts"].alias("counts"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), F.when(s["run"] > 0, F.concat(s["counts"], F.array(s["run"]))).otherwise(s["counts"]).alias("counts")))
-    return F.aggregate(F.array_sort(array), start, step, lambda s: F.when(s["run"] > 0, F.concat(s["counts"], F.array(s["run"]))).otherwise(s["counts"]))
+    """Counts of the distinct values of an array: a sort, then one pass."""
+    return bound(F.array_sort(array), lambda s: run_lengths(s))
 
 
 def is_finite(x: Column) -> Column:
@@ -98,8 +115,7 @@ def cosine(a: Column, b: Column, epsilon: float = EPSILON) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return bound(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def pairwise_block(q: Column, r: Column) -> Column:

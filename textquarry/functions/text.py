@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import stats
 from .vocabularies import WORD
 
 EDGE_SPACE = r"(?U)^\s+|\s+$"
@@ -45,7 +46,8 @@ def tokens_at_space(text: Column) -> Column:
 
 
 def alphabetic(array: Column) -> Column:
-    return F.filter(array, lambda x: x.rlike("[A-Za-z]"))
+    """Of ASCII words those with a letter: upper and lower case differ."""
+    return F.filter(array, lambda x: F.upper(x) != F.lower(x))
 
 
 def syllables(word: Column) -> Column:
@@ -57,6 +59,16 @@ def syllables(word: Column) -> Column:
     return F.when(letters == "", 0).otherwise(F.greatest(groups + extra, F.lit(1)))
 
 
+def all_syllables(words: Column) -> Column:
+    """syllables() of every word of an array, each with a letter: the rules run once over all words in a row, each vowel group
+    becomes a mark, and a word has as many as it has marks."""
+    row = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z ]", "")
+    row = F.regexp_replace(row, "(?<!l)e(?= |$)", "")
+    row = F.regexp_replace(row, "(?<=[b-df-hj-np-tv-xz])le(?= |$)", "l##")
+    marks = F.regexp_replace(F.regexp_replace(row, "[aeiouy]+", "#"), "[a-z]+", "")
+    return F.when(F.size(words) > 0, F.transform(F.split(marks, " ", -1), lambda x: F.greatest(F.length(x), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
 def truncate_words(text: Column, limit: int = 380) -> Column:
     """The first `limit` words joined by single spaces if there are more, else the text as it is."""
     parts = tokens_at_space(text)
@@ -69,12 +81,12 @@ def phrase_pattern(phrases: list[str]) -> str:
 
 
 def match_starts(text: Column, pattern: str) -> Column:
-    """Start offsets of all matches of a pattern."""
+    """Start offsets of all matches of a pattern: the lengths of what lies before each, and of the matches before it. For a
+    few matches; their sum alone, in one pass, is match_start_sum."""
     pieces = F.transform(F.split(text, pattern, -1), F.length)
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
-    return F.aggregate(both, start, lambda s, x: F.struct(F.concat(s["starts"], F.array(s["at"] + x["p"])).alias("starts"), (s["at"] + x["p"] + x["m"]).alias("at")))["starts"]
+    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), F.concat(F.array(F.lit(0)), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))), lambda p, m: p + m)
+    return stats.bound(F.filter(steps, lambda x: x.isNotNull()), lambda s: F.transform(s, lambda _, k: F.aggregate(F.slice(s, 1, k + 1), F.lit(0), lambda a, x: a + x)))
 
 
 def match_start_sum(text: Column, pattern: str) -> Column:

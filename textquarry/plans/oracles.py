@@ -140,9 +140,12 @@ SQL["pairwise_block"] = f"""
 WITH {PAIRS}, long AS (SELECT vec_id, len(q) AS d, unnest(range(len(q))) AS k, unnest(q) AS q, unnest(r) AS r FROM pairs)
 SELECT vec_id, CAST(k + d * b AS BIGINT) AS place, round(CASE b WHEN 0 THEN q WHEN 1 THEN r WHEN 2 THEN abs(q - r) ELSE q * r END, 6) + 0.0 AS value FROM long, range(4) AS t(b)"""
 
-MODEL = rf"""
+def model(window: int | None = None) -> str:
+    """Counted pairs and their scores; with a window, of windows side by side, whose first words follow none."""
+    first = "i = 1" if window is None else f"(i - 1) % {window} = 0"
+    return rf"""
 long AS (
-  SELECT user_id, file_id, CASE WHEN i > 1 THEN lower(w[i - 1]) ELSE '<s>' END AS prev, lower(w[i]) AS word FROM (SELECT user_id, file_id, w, unnest(range(1, len(w) + 1)) AS i FROM worded)
+  SELECT user_id, file_id, CASE WHEN {first} THEN '<s>' ELSE lower(w[i - 1]) END AS prev, lower(w[i]) AS word FROM (SELECT user_id, file_id, w, unnest(range(1, len(w) + 1)) AS i FROM worded)
 ), pair AS (SELECT prev, word, count(*) AS pc FROM long GROUP BY ALL
 ), prevs AS (SELECT prev, sum(pc) AS vc FROM pair GROUP BY ALL
 ), singles AS (SELECT word, sum(pc) AS wc FROM pair GROUP BY ALL
@@ -151,15 +154,29 @@ long AS (
   SELECT prev, word, ln(0.75::DOUBLE * pc / vc + 0.25::DOUBLE * (wc + 1) / (total + vocabulary + 1)) AS lp, rank() OVER (PARTITION BY prev ORDER BY pc DESC) AS r
   FROM pair JOIN prevs USING (prev) JOIN singles USING (word), whole
 ), scored AS (SELECT user_id, file_id, lp, r FROM long JOIN model USING (prev, word))"""
-SQL["perplexity"] = f"""
-WITH {BASE}, {MODEL}, agg AS (SELECT user_id, file_id, avg(lp) AS m, count(*) AS n FROM scored GROUP BY ALL)
+
+
+def perplexity(window: int | None = None) -> str:
+    return f"""
+WITH {BASE}, {model(window)}, agg AS (SELECT user_id, file_id, avg(lp) AS m, count(*) AS n FROM scored GROUP BY ALL)
 SELECT user_id, file_id, {real("exp(-m)", "perplexity")}, {real("coalesce(m, 0)", "avg_logprob")}, {real("coalesce(exp(-m), 0)", "ppl")}, coalesce(n, 0) AS lm_tokens FROM survey LEFT JOIN agg USING (user_id, file_id)"""
+
+
+SQL["perplexity"] = perplexity()
+SQL["perplexity_windowed"] = perplexity(64)
 SHARES = ["proportion_top10", "proportion_top100", "proportion_top1000", "proportion_over1000"]
 SQL["token_ranks"] = f"""
-WITH {BASE}, {MODEL}, agg AS (
+WITH {BASE}, {model()}, agg AS (
   SELECT user_id, file_id, avg(CAST(r <= 10 AS INT)) AS proportion_top10, avg(CAST(r > 10 AND r <= 100 AS INT)) AS proportion_top100, avg(CAST(r > 100 AND r <= 1000 AS INT)) AS proportion_top1000, avg(CAST(r > 1000 AS INT)) AS proportion_over1000,
          avg(r) AS mean_rank, median(r) AS median_rank, count(*) AS n FROM scored GROUP BY ALL)
 SELECT user_id, file_id, {", ".join(real(f"coalesce({c}, 0)", c) for c in [*SHARES, "mean_rank", "median_rank"])}, coalesce(n, 0) AS n_pred_tokens, {real(f"coalesce({entropy(SHARES)}, 0)", "rank_entropy")} FROM survey LEFT JOIN agg USING (user_id, file_id)"""
+SQL["token_ranks_integrated"] = f"""
+WITH {BASE}, {model()}, vocab AS (SELECT word, rank() OVER (ORDER BY wc DESC) AS r FROM singles
+), spread AS (SELECT prev, -sum(pc / vc * log2(pc / vc)) AS e FROM pair JOIN prevs USING (prev) GROUP BY prev
+), agg AS (
+  SELECT user_id, file_id, avg(CAST(r <= 10 AS INT)) AS proportion_top10, avg(CAST(r <= 100 AS INT)) AS proportion_top100, avg(CAST(r <= 1000 AS INT)) AS proportion_top1000, avg(CAST(r > 1000 AS INT)) AS proportion_over1000,
+         avg(r) AS mean_rank, median(r) AS median_rank, avg(e) AS rank_entropy, count(*) AS n FROM long JOIN vocab USING (word) JOIN spread USING (prev) GROUP BY ALL)
+SELECT user_id, file_id, {", ".join(real(f"coalesce({c}, 0)", c) for c in [*SHARES, "mean_rank", "median_rank", "rank_entropy"])}, coalesce(n, 0) AS n_pred_tokens FROM survey LEFT JOIN agg USING (user_id, file_id)"""
 
 WORDS_OF = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*'), lambda x: lower(x)))"
 SQL["consistency"] = rf"""
@@ -195,3 +212,152 @@ SQL["coercion"] = f"SELECT event_id, {real('CAST(value AS DOUBLE)', 's')} FROM e
 SQL["top_words_by_lang"] = rf"""
 WITH w AS (SELECT lang, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*'))) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL)
 SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS nth FROM c QUALIFY nth <= 5"""
+
+# --- lexical diversity by factors: each step of the recursion finds where the next factor of every text ends -----------
+SQL["lexical_mtld"] = rf"""
+WITH RECURSIVE {BASE}, words AS (
+  SELECT user_id, file_id, way, i, len(w) AS n, CASE way WHEN 0 THEN lower(w[i]) ELSE lower(w[len(w) + 1 - i]) END AS x
+  FROM (SELECT user_id, file_id, w, way, unnest(range(1, len(w) + 1)) AS i FROM worded, range(2) AS t(way) WHERE len(w) >= 10)
+), known AS (
+  SELECT user_id, file_id, way, i, n, lag(i, 1, 0) OVER (PARTITION BY user_id, file_id, way, x ORDER BY i) AS last FROM words
+), walk AS (
+  SELECT DISTINCT user_id, file_id, way, n, CAST(1 AS BIGINT) AS start, CAST(0 AS DOUBLE) AS factors, false AS done FROM known
+  UNION ALL
+  SELECT user_id, file_id, way, any_value(n), CASE WHEN e IS NULL THEN any_value(n) + 1 ELSE e + 1 END, any_value(factors) + CASE WHEN e IS NULL THEN (1 - arg_max(ratio, i)) / (1 - 0.72::DOUBLE) ELSE 1 END, e IS NULL OR e = any_value(n)
+  FROM (
+    SELECT *, min(CASE WHEN ratio <= 0.72::DOUBLE THEN i END) OVER (PARTITION BY user_id, file_id, way) AS e FROM (
+      SELECT walk.user_id, walk.file_id, walk.way, walk.n, walk.factors, known.i,
+             CAST(sum(CAST(known.last < walk.start AS INT)) OVER (PARTITION BY walk.user_id, walk.file_id, walk.way ORDER BY known.i) AS DOUBLE) / (known.i - walk.start + 1) AS ratio
+      FROM walk JOIN known ON known.user_id = walk.user_id AND known.file_id = walk.file_id AND known.way = walk.way AND known.i >= walk.start
+      WHERE NOT walk.done))
+  GROUP BY user_id, file_id, way, e
+), ends AS (SELECT user_id, file_id, way, n / factors AS m FROM walk WHERE done AND factors > 0
+), mean AS (SELECT user_id, file_id, avg(m) AS m FROM ends GROUP BY ALL)
+SELECT user_id, file_id, {real("coalesce(m, 0)", "mtld")} FROM survey LEFT JOIN mean USING (user_id, file_id)"""
+
+# --- places of connectives: words and what lies between them in turn, with the place where each begins -----------------
+SINGLES = [w for words in v.CONNECTIVES.values() for w in words if " " not in w]
+PHRASES = [w.split(" ") for words in v.CONNECTIVES.values() for w in words if " " in w]
+
+
+def phrase_here(words: list[str]) -> str:
+    return " AND ".join([f"x = '{words[0]}'", *(rf"regexp_full_match(x{2 * k + 1}, '\s+') AND x{2 * k + 2} = '{w}'" for k, w in enumerate(words[1:]))])
+
+
+SQL["discourse_positions"] = rf"""
+WITH {BASE}, cut AS (
+  SELECT user_id, file_id, length(text) AS size, regexp_extract_all(lower(text), '{LETTERS}|[^\p{{L}}\p{{N}}_]+') AS p FROM survey
+), pieces AS (
+  SELECT user_id, file_id, size, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM cut
+), placed AS (
+  SELECT *, sum(length(x)) OVER (PARTITION BY user_id, file_id ORDER BY i) - length(x) AS place, {", ".join(f"lead(x, {k}) OVER (PARTITION BY user_id, file_id ORDER BY i) AS x{k}" for k in range(1, 9))} FROM pieces
+), found AS (
+  SELECT user_id, file_id, size, place FROM placed WHERE x IN ({quoted(SINGLES)})
+  UNION ALL SELECT user_id, file_id, size, place FROM placed WHERE {" OR ".join("(" + phrase_here(w) + ")" for w in PHRASES)}
+), agg AS (SELECT user_id, file_id, count(*) AS k, sum(place) / count(*) / any_value(size) AS p FROM found GROUP BY ALL)
+SELECT user_id, file_id, coalesce(k, 0) AS total_connectives, round_even(coalesce(p, 0), 4) + 0.0 AS avg_connective_position FROM survey LEFT JOIN agg USING (user_id, file_id)"""
+
+# --- the rule annotator: tags by word, heads by rule; a chain of links ends at the first token that is none -------------
+NOMINALS = "('NOUN', 'PROPN', 'PRON')"
+
+
+def tagged() -> str:
+    classes: dict[str, list[str]] = {}
+    for pos, words in v.CLOSED_CLASSES.items():
+        for w in words:
+            later = [p for p, others in list(v.CLOSED_CLASSES.items())[list(v.CLOSED_CLASSES).index(pos) + 1 :] if w in others]
+            if not later:
+                classes.setdefault(pos, []).append(w)
+    closed = " ".join(f"WHEN low IN ({quoted(words)}) THEN '{pos}'" for pos, words in classes.items())
+    endings = " ".join(f"WHEN {' OR '.join(f'(low LIKE {chr(39)}%{e}{chr(39)} AND length(low) > {len(e) + 2})' for e in ends)} THEN '{pos}'" for pos, ends in v.SUFFIXES.items())
+    return rf"""
+sentences AS (
+  SELECT user_id, file_id, unnest(range(len(s))) AS sent, unnest(s) AS s FROM (
+    SELECT user_id, file_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM survey)
+), pieces AS (
+  SELECT user_id, file_id, sent, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS w FROM (
+    SELECT user_id, file_id, sent, regexp_extract_all(s, '[\p{{L}}\p{{N}}]+(?:[-''][\p{{L}}\p{{N}}]+)*|[^\p{{L}}\p{{N}}_\s]|_') AS p FROM sentences)
+), lowered AS (SELECT *, lower(w) AS low FROM pieces
+), tagged AS (
+  SELECT user_id, file_id, sent, k, low, CASE WHEN NOT regexp_matches(w, '[\p{{L}}\p{{N}}_]') THEN 'PUNCT' {closed} WHEN regexp_matches(w, '^\p{{Nd}}') THEN 'NUM' WHEN k > 1 AND regexp_matches(w, '^\p{{Lu}}') THEN 'PROPN' {endings} ELSE 'NOUN' END AS tag FROM lowered
+), rooted AS (
+  SELECT *, coalesce(min(CASE WHEN tag = 'VERB' THEN k END) OVER s, min(CASE WHEN tag <> 'PUNCT' THEN k END) OVER s, 1) AS root, count(*) OVER s AS n, lead(tag) OVER (PARTITION BY user_id, file_id, sent ORDER BY k) AS next, lag(tag) OVER (PARTITION BY user_id, file_id, sent ORDER BY k) AS before
+  FROM tagged WINDOW s AS (PARTITION BY user_id, file_id, sent)
+), linked AS (
+  SELECT *, k <> root AND tag IN ('DET', 'ADJ', 'NUM', 'ADP', 'ADV', 'PART') AND coalesce(next, 'PUNCT') <> 'PUNCT' AS link FROM rooted
+), headed AS (
+  SELECT *, CASE WHEN k = root THEN k WHEN link THEN k + 1 ELSE root END AS head, min(CASE WHEN NOT link THEN k END) OVER (PARTITION BY user_id, file_id, sent ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM linked
+)"""
+
+
+def count_of(*tags: str) -> str:
+    return f"count(*) FILTER (tag IN ({quoted(list(tags))}))"
+
+
+POS_SHARES = ", ".join(f"{count_of(p)} AS c_{p}" for p in v.POS_ALL)
+SQL["pos"] = rf"""
+WITH {BASE}, {tagged()}, agg AS (
+  SELECT user_id, file_id, count(*) AS n, max(sent) + 1 AS s, {POS_SHARES}, {count_of(*v.CONTENT_POS)} AS content, {count_of(*v.FUNCTION_POS)} AS func FROM tagged GROUP BY ALL
+), whole AS (SELECT survey.user_id, survey.file_id, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(content, 0) AS content, coalesce(func, 0) AS func, {", ".join(f"coalesce(c_{p}, 0) AS c_{p}" for p in v.POS_ALL)} FROM survey LEFT JOIN agg USING (user_id, file_id))
+SELECT user_id, file_id, n AS pos_token_count, {", ".join(f"c_{p} AS pos_count_{p}" for p in v.POS_TRACKED)}, {", ".join(real(f"CASE WHEN n = 0 THEN 0 ELSE c_{p} / n END", f"pos_prop_{p}") for p in v.POS_ALL)},
+  {real("CASE WHEN func = 0 THEN CASE WHEN content > 0 THEN 1.0::DOUBLE ELSE 0 END ELSE content / func END", "content_vs_function_ratio")}, {real("CASE WHEN n = 0 THEN 0 ELSE c_PRON / n END", "pronoun_ratio")},
+  {real("CASE WHEN s = 0 THEN 0 ELSE (c_VERB + c_AUX) / s END", "verbs_per_sentence")}, {real("CASE WHEN n = 0 THEN 0 ELSE " + entropy([f"c_{p} / n" for p in v.POS_ALL]) + " END", "pos_entropy")}, s AS sentence_count FROM whole"""
+
+SQL["dependency"] = rf"""
+WITH {BASE}, {tagged()}, sent AS (
+  SELECT user_id, file_id, sent, count(*) AS n, max(stop - k + CASE WHEN stop = root THEN 1 ELSE 2 END) AS depth, coalesce(avg(abs(k - head)) FILTER (k <> root), 0) AS distance, count(*) FILTER (k <> root AND head = root) AS children FROM headed GROUP BY ALL
+), agg AS (SELECT user_id, file_id, avg(depth) AS a, max(depth) AS m, stddev_pop(depth) AS d, avg(distance) AS g, avg(children) AS c, count(*) AS s, sum(n) AS n FROM sent GROUP BY ALL)
+SELECT user_id, file_id, {real("coalesce(a, 0)", "avg_tree_depth")}, {real("CAST(coalesce(m, 0) AS DOUBLE)", "max_tree_depth")}, {real("coalesce(d, 0)", "std_tree_depth")}, {real("coalesce(g, 0)", "avg_dep_distance")}, {real("coalesce(c, 0)", "root_children_mean")},
+  coalesce(s, 0) AS n_sentences_dep, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens_dep FROM survey LEFT JOIN agg USING (user_id, file_id)"""
+
+SQL["entity_grid"] = rf"""
+WITH {BASE}, {tagged()}, size AS (SELECT user_id, file_id, max(sent) + 1 AS s FROM tagged GROUP BY ALL
+), mention AS (
+  SELECT user_id, file_id, low, sent, CASE WHEN k = root THEN 'X' WHEN before = 'ADP' THEN 'O' WHEN k < root THEN 'S' ELSE 'O' END AS role FROM headed WHERE tag IN {NOMINALS}
+), chained AS (SELECT *, lag(role) OVER (PARTITION BY user_id, file_id, low ORDER BY sent, role) AS last FROM mention
+), entity AS (SELECT user_id, file_id, low, count(*) AS m, count(*) FILTER (role <> last) AS changed FROM chained GROUP BY ALL
+), grid AS (SELECT user_id, file_id, count(*) AS e, sum(m) AS m, count(*) FILTER (m > 1) AS many, count(*) FILTER (m = 1) AS once, sum(changed) AS changed FROM entity GROUP BY ALL
+), whole AS (SELECT survey.user_id, survey.file_id, coalesce(s, 0) AS s, coalesce(e, 0) AS e, coalesce(m, 0) AS m, many, once, changed FROM survey LEFT JOIN size USING (user_id, file_id) LEFT JOIN grid USING (user_id, file_id))
+SELECT user_id, file_id, e AS unique_entities, {real("CASE WHEN s = 0 THEN 0 ELSE m / s END", "avg_entities_per_sent")}, {real("CASE WHEN s < 2 OR e = 0 THEN 0 ELSE many / e END", "entity_continuity")},
+  {real("CASE WHEN s = 0 THEN 0 WHEN s = 1 THEN 1 WHEN e = 0 THEN 0 ELSE once / e END", "entity_introductions")}, {real("CASE WHEN s < 2 OR m = e THEN 0 ELSE changed / (m - e) END", "role_transitions")}, {real("CASE WHEN s < 2 OR e = 0 THEN 0 ELSE m / (s * e) END", "grid_density")} FROM whole"""
+
+
+# --- the hashing encoder: a word's signs are the bits of its digests -----------------------------------------------------
+def vectors(dimension: int) -> str:
+    digest = "md5(word || CASE WHEN k = 0 THEN '' ELSE '#' || k END)"
+    return rf"""
+counted AS (
+  SELECT user_id, file_id, side, word, count(*) AS n FROM (
+    SELECT user_id, file_id, 'r' AS side, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM survey
+    UNION ALL SELECT user_id, file_id, 'q', unnest(regexp_extract_all(lower(question), '\S+')) FROM survey) GROUP BY ALL
+), signs AS (
+  SELECT word, list_transform(range({dimension}), lambda d: ((instr('0123456789abcdef', h[d // 4 + 1]) - 1) >> (3 - d % 4)) % 2 * 2 - 1) AS v FROM (
+    SELECT word, string_agg({digest}, '' ORDER BY k) AS h FROM (SELECT DISTINCT word FROM counted), range({-(-dimension // 128)}) AS t(k) GROUP BY word)
+), sums AS (
+  SELECT user_id, file_id, side, d, sum(n * x) AS x FROM (SELECT user_id, file_id, side, n, unnest(range({dimension})) AS d, unnest(v) AS x FROM counted JOIN signs USING (word)) GROUP BY ALL
+), scaled AS (
+  SELECT user_id, file_id, side, d, x / sqrt(sum(x * x) OVER (PARTITION BY user_id, file_id, side)) AS x FROM sums QUALIFY sum(x * x) OVER (PARTITION BY user_id, file_id, side) > 0
+), both_sides AS (
+  SELECT user_id, file_id, d, max(x) FILTER (side = 'q') AS q, max(x) FILTER (side = 'r') AS r FROM scaled GROUP BY ALL
+)"""
+
+
+SQL["text_similarity"] = rf"""
+WITH {BASE}, {vectors(64)}, agg AS (SELECT user_id, file_id, sum(q * r) AS d, sqrt(sum(q * q)) AS qn, sqrt(sum(r * r)) AS rn FROM both_sides GROUP BY ALL
+), whole AS (SELECT survey.user_id, survey.file_id, coalesce(d, 0) AS d, coalesce(qn, 0) AS qn, coalesce(rn, 0) AS rn FROM survey LEFT JOIN agg USING (user_id, file_id))
+SELECT user_id, file_id, {real("d / ((qn + 1e-12) * (rn + 1e-12))", "cosine_sim")}, {real("qn", "q_norm")}, {real("rn", "r_norm")}, {real("abs(qn - rn)", "norm_gap")} FROM whole"""
+
+SQL["clip_text"] = rf"""
+WITH {BASE}, {vectors(512)}, agg AS (SELECT user_id, file_id, sum(q * r) AS c, list(r ORDER BY d) AS v FROM both_sides GROUP BY ALL)
+SELECT user_id, file_id, {real("coalesce(c, 0)", "clip_qr_cosine")}, {", ".join(real(f"coalesce(v[{k + 1}], 0)", f"clip_dim_{k:03d}") for k in range(512))} FROM survey LEFT JOIN agg USING (user_id, file_id)"""
+
+SQL["truncated_tokens"] = rf"""
+WITH {BASE}, cut AS (SELECT user_id, file_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]') AS t FROM survey), done AS (
+  SELECT user_id, file_id, CASE WHEN len(t) > 256 THEN array_to_string(t[1:256], '') ELSE text END AS x FROM cut)
+SELECT user_id, file_id, md5(x) AS cut_md5, length(x) AS n_chars FROM done"""
+
+JOINED = ["readability", "lexical_richness", "lexical_mtld", "discourse", "discourse_positions", "sentiment", "consistency"]
+SQL["master_surface"] = (
+    f"SELECT * EXCLUDE (part) FROM (SELECT a.*, r.rating, 0 AS part FROM ({SQL['sentence_length']}) a JOIN (WITH {BASE} SELECT user_id, file_id, rating FROM survey) r USING (user_id, file_id))"
+    + "".join(f" JOIN (SELECT * {'EXCLUDE (total_connectives)' if name == 'discourse_positions' else ''} FROM ({SQL[name]})) USING (user_id, file_id)" for name in JOINED)
+)

@@ -5,6 +5,7 @@ Real-valued results are rounded to six places, as sums may run in another order
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +15,12 @@ from pyspark.sql import types as T
 from ..functions import stats, text
 from ..functions import vocabularies as v
 from ..operators import annotate, language, modeling, surface
+from ..sources import tables
 from . import survey as base
 
 KEYS = ["user_id", "file_id"]
+#: Trees and depth of the registered forests: the operators' defaults.
+FOREST_TREES, COMBO_TREES, FOREST_DEPTH = 400, 800, 30
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -55,7 +59,7 @@ def lexical_richness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical_mtld(spark: SparkSession, sf: str) -> DataFrame:
-    return base.survey(spark, sf).select(*KEYS, surface.mtld(text.lower_words(F.col("text"))).alias("mtld"))
+    return rounded(base.survey(spark, sf).select(*KEYS, surface.mtld(text.lower_words(F.col("text"))).alias("mtld")))
 
 
 def frequency_spectrum(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +71,7 @@ def discourse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discourse_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return surface.discourse(base.survey(spark, sf)).select(*KEYS, "total_connectives", "avg_connective_position")
+    return rounded(surface.discourse(base.survey(spark, sf)), *KEYS, "total_connectives", "avg_connective_position")
 
 
 def sentiment(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,24 +130,59 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, *KEYS, "cosine_sim", "q_norm", "r_norm", "norm_gap")
 
 
-def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The survey, its words with scores under the model of all of its words, and that model."""
-    texts = base.survey(spark, sf)
-    words = language.positions(texts, KEYS)
-    model = language.bigram_model(words)
+CLIP_DIMENSION = 512
+
+
+def clip_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Question and response through an encoder of 512 dimensions, the response's unit vector as columns."""
+    df = language.clip_block(base.survey(spark, sf), language.hash_encoder(CLIP_DIMENSION), CLIP_DIMENSION)
+    return rounded(df, *KEYS, "clip_qr_cosine", *(f"clip_dim_{k:03d}" for k in range(CLIP_DIMENSION)))
+
+
+def truncated_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts cut to 256 tokens of one kind: words and the single characters between them."""
+    pieces = re.compile(r"[^\W_]+|[\W_]")
+    df = language.truncate_tokens(base.survey(spark, sf).select(*KEYS, "text"), pieces.findall, "".join, 256)
+    return df.select(*KEYS, F.md5(F.col("truncated").cast("binary")).alias("cut_md5"), F.length("truncated").cast("long").alias("n_chars"))
+
+
+def scored(texts: DataFrame, window: int = 1024, stride: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Counted pairs of words of the texts with scores under the model of all of them, and that model.
+
+    The pairs are dealt by (prev, word) once: their counts and the join with the model both read that exchange.
+    """
+    pairs = language.pair_counts(texts, KEYS, window=window, stride=stride).repartition("prev", "word")
+    model = language.bigram_model(pairs)
     # every pair is in the model, so one join scores all words
-    known = words.join(model, ["prev", "word"]).select(*KEYS, "pos", "prev", "word", language.log_probability().alias("log_prob"), "rank")
-    return texts, known, model
+    known = pairs.join(model, ["prev", "word"]).select(*KEYS, "prev", "word", "n", language.log_probability().alias("log_prob"), "rank")
+    return known, model
+
+
+def without_infinity(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.when(stats.is_finite(F.col(c)), F.col(c)) for c in columns})
 
 
 def perplexity(spark: SparkSession, sf: str) -> DataFrame:
-    texts, words, _ = scored(spark, sf)
-    return rounded(language.perplexity(words, texts, KEYS).withColumn("perplexity", F.when(F.col("perplexity") == float("inf"), None).otherwise(F.col("perplexity"))))
+    texts = base.survey(spark, sf)
+    return rounded(without_infinity(language.perplexity(scored(texts)[0], texts, KEYS), "perplexity"))
+
+
+def perplexity_windowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that do not overlap, whose first word has no context."""
+    texts = base.survey(spark, sf)
+    return rounded(without_infinity(language.perplexity(scored(texts, 64, 64)[0], texts, KEYS), "perplexity"))
 
 
 def token_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    texts, words, _ = scored(spark, sf)
-    return rounded(language.token_ranks(words, texts, KEYS))
+    texts = base.survey(spark, sf)
+    return rounded(language.token_ranks(scored(texts)[0], texts, KEYS))
+
+
+def token_ranks_integrated(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabulary ranks and entropies, in the integrated variant."""
+    texts = base.survey(spark, sf)
+    known, model = scored(texts)
+    return rounded(language.integrated_ranks(known.drop("rank", "log_prob"), model, texts, KEYS))
 
 
 def consistency(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,9 +190,8 @@ def consistency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def curvature(spark: SparkSession, sf: str) -> DataFrame:
-    texts, _, model = scored(spark, sf)
-    out = language.curvature(texts, model, KEYS, k=2)
-    return out.withColumn("ll_orig", F.when(stats.is_finite(F.col("ll_orig")), F.col("ll_orig")))
+    texts = base.survey(spark, sf)
+    return without_infinity(language.curvature(texts, tables.stored(scored(texts)[1]), KEYS), "ll_orig")
 
 
 def simple_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,36 +238,74 @@ def standardised(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(modeling.standardise(simple_predictions(spark, sf), ["pred_rating"]), *KEYS, "pred_rating_z")
 
 
-def master_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Families that need no model, as one table from one scan."""
-    df = base.survey(spark, sf)
-    for family in (surface.sentence_length, surface.readability, surface.lexical_richness, surface.discourse, surface.sentiment):
+def row_families(df: DataFrame) -> DataFrame:
+    """All families that read a row alone: texts are encoded and annotated once, and cut into words and sentences once."""
+    df = language.semantic(language.encode(df, {"question": "_q_vec", "text": "_r_vec"}, language.hash_encoder()), "_q_vec", "_r_vec").drop("_q_vec", "_r_vec")
+    df = annotate.annotate(df)
+    for family in (annotate.pos_features, annotate.dependency_features, annotate.entity_features, annotate.grid_features):
+        df = family(df)
+    df = surface.with_words(df.drop("tokens", "entities", "annotation_status"))
+    for family in (surface.sentence_length, surface.readability, surface.lexical_richness, surface.discourse, surface.sentiment, language.consistency):
+        df = family(df)
+    return surface.without_words(df)
+
+
+def master(spark: SparkSession, sf: str) -> DataFrame:
+    """All families as one table: keys, rating and features, blank texts' infinities as 0."""
+    texts = base.survey(spark, sf)
+    known, model = scored(texts)
+    model = tables.stored(model)
+    known = tables.stored(known)
+    out = row_families(texts).drop("question", "text")
+    ranks = language.token_ranks(known, texts, KEYS)
+    for family in (language.perplexity(known, texts, KEYS), ranks, language.curvature(texts, model, KEYS)):
+        out = out.join(family, KEYS)
+    return modeling.clean(out, [c for c in modeling.numeric_columns(out) if dict(out.dtypes)[c] == "double"])
+
+
+SURFACE_MASTER = [*SENTENCE, *READABILITY, *LEXICAL, "mtld", *DISCOURSE, "avg_connective_position", *SENTIMENT]
+
+
+def master_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """The families of the master table that SQL has in full, from its own plan: annotation and models left out."""
+    df = surface.with_words(base.survey(spark, sf))
+    for family in (surface.sentence_length, surface.readability, surface.lexical_richness, surface.discourse, surface.sentiment, language.consistency):
         df = family(df)
-    return df.select(*KEYS, "rating", *SENTENCE, *READABILITY, *LEXICAL, "mtld", *DISCOURSE, "avg_connective_position", *SENTIMENT)
+    return rounded(df, *KEYS, "rating", *SURFACE_MASTER, *CONSISTENCY)
+
+
+def master_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(master(spark, sf))
+
+
+def split_master(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.stored(modeling.with_split(master(spark, sf), KEYS))
 
 
 def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    df = modeling.with_split(master_features(spark, sf), KEYS).cache()
-    columns = ["avg_sentence_len", "flesch_reading_ease", "ttr", "connective_density_per_100w", "vader_compound"]
-    return modeling.predict(modeling.forest(df, columns, trees=20, depth=10), df, columns).select(*KEYS, "rating", "split", "pred_rating")
+    df = split_master(spark, sf)
+    columns = modeling.numeric_columns(df)
+    return modeling.predict(modeling.forest(df, columns, trees=FOREST_TREES, depth=FOREST_DEPTH), df, columns).select(*KEYS, "rating", "split", "pred_rating")
 
 
 def combo_summary(spark: SparkSession, sf: str) -> DataFrame:
-    df = modeling.with_split(master_features(spark, sf), KEYS).cache()
-    return modeling.combo_sweep(df, trees=5)[0]
+    """A forest for each named set of the whole master table; a column that is missing is an error."""
+    return modeling.combo_sweep(split_master(spark, sf), trees=COMBO_TREES, depth=FOREST_DEPTH, strict=True)[0]
+
+
+COMPONENTS = 128
 
 
 def component_block(spark: SparkSession, sf: str) -> DataFrame:
     """Principal components of the pairwise block, as columns."""
     df = modeling.with_split(vector_pairs(spark, sf), ["vec_id"]).withColumn("block", stats.pairwise_block(F.col("q_vec"), F.col("r_vec")))
-    return modeling.spread(modeling.with_components(df, "block", most=8), "pca", 8, "pca").select("vec_id", *(f"pca_{k:03d}" for k in range(8)))
+    return modeling.spread(modeling.with_components(df, "block", most=COMPONENTS), "pca", COMPONENTS, "pca").select("vec_id", *(f"pca_{k:03d}" for k in range(COMPONENTS)))
 
 
 def mixed_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Fixed-effects and conditional predictions of the test rows."""
-    df = surface.lexical_richness(surface.sentence_length(base.survey(spark, sf)), with_mtld=False)
-    df = modeling.standardise(modeling.with_split(df, KEYS), ["ttr", "sentence_length"]).select(*KEYS, "rating", "split", "ttr_z", "sentence_length_z").cache()
-    model = modeling.MixedModel(["ttr_z", "sentence_length_z"]).fit(df.where("split = 'train'"))
+    """Fixed-effects and conditional predictions of the test rows, from all fixed effects."""
+    df = modeling.standardise(split_master(spark, sf), v.FIXED_EFFECTS).select(*KEYS, "rating", "split", *(f"{c}_z" for c in v.FIXED_EFFECTS))
+    model = modeling.MixedModel([f"{c}_z" for c in v.FIXED_EFFECTS]).fit(df.where("split = 'train'"))
     return model.predict(df.where("split = 'test'")).select(*KEYS, "rating", "pred_fe_only", "pred_conditional")
 
 
@@ -240,7 +316,7 @@ def top_words_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("nth", nth).where("nth <= 5").select("lang", "word", "n", F.col("nth").cast("long").alias("nth"))
 
 
-ALL = [survey_rows, report_users, sentence_length, readability, lexical_richness, lexical_mtld, frequency_spectrum, discourse, discourse_positions, sentiment, truncated_words, pos, dependency, entities, entity_grid, semantic, pairwise_block, clip, text_similarity, perplexity, token_ranks, consistency, curvature, split_rows, per_user, per_user_test_only, evaluation, cleaning, coercion, standardised, master_features, forest_predictions, combo_summary, component_block, mixed_model, top_words_by_lang]
+ALL = [survey_rows, report_users, sentence_length, readability, lexical_richness, lexical_mtld, frequency_spectrum, discourse, discourse_positions, sentiment, truncated_words, pos, dependency, entities, entity_grid, semantic, pairwise_block, clip, text_similarity, clip_text, truncated_tokens, perplexity, perplexity_windowed, token_ranks, token_ranks_integrated, consistency, curvature, split_rows, per_user, per_user_test_only, evaluation, cleaning, coercion, standardised, master_surface, master_features, forest_predictions, combo_summary, component_block, mixed_model, top_words_by_lang]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabularies import RATING_LABELS
-from ..sources.tables import dealt_out, submission
+from ..sources.tables import submission
 
 FILES = 5
 
@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns as a survey's file has them. Of seven rows one has an unknown label and one none."""
+    """Columns as a survey's file has them. Of seven rows one has an unknown label and one none.
+
+    textquarry.spread, where a session sets it, is a number of partitions that rows are dealt over first: for files of fewer
+    row groups than cores, which Spark cannot split. It is unset otherwise, at any size.
+    """
     labels = F.array(*map(F.lit, [*RATING_LABELS, "Other", None]))
-    d = dealt_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if spread := spark.conf.get("textquarry.spread", None):
+        d = d.repartition(int(spread))
     return d.select(F.floor(F.col("doc_id") / FILES).cast("long").alias("user_id"), (F.col("doc_id") % FILES).cast("long").alias("file_id"), F.concat(F.lit("Is this about "), "source", F.lit(" in "), "lang", F.lit("?")).alias("Question"), F.col("text").alias("Response 1"), labels[(F.col("doc_id") % 7).cast("int")].alias("Rating"))
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import stats, text
-from ..functions.vocabularies import QUESTION_PATTERN, RATING_COLUMN, RESPONSE_PATTERN
+from ..functions.vocabularies import FAMILY_PLACES, PLACES, QUESTION_PATTERN, RATING_COLUMN, RATING_PLACES, RESPONSE_PATTERN, SHARE_COLUMNS
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -19,11 +22,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def dealt_out(df: DataFrame, row_group_bytes: int = 128 << 20) -> DataFrame:
-    """df over all cores if it is so small that its files hold fewer row groups than there are cores; else as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * row_group_bytes else df
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the folder of spark.checkpoint.dir, which all executors share, and read from there.
+
+    Where that is unset, a session in one process takes a temporary folder; on a cluster that is an error.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context._jsc.sc().isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def columns_like(df: DataFrame, pattern: str) -> list[str]:
@@ -45,11 +59,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def with_ordinal(df: DataFrame, order: list[str], name: str = "user_id") -> DataFrame:
-    """Rows numbered from 0 along a key, without one global sort: ranges are sorted apart and offset by their counts."""
+def with_ordinal(df: DataFrame, order: list[str], name: str = "user_id", scratch: str | None = None) -> DataFrame:
+    """Rows numbered from 0 along a key, without one global sort: ranges are sorted apart and offset by their counts.
+
+    The ranges' bounds come from a sample, so both readings of them must be of one evaluation: df is written to `scratch`,
+    a folder that all executors share, and read again; without one it is persisted, and an evaluation that was lost with an
+    executor is made anew from the same bounds as long as the session lives.
+    """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    numbered = ranged.withColumn("_nth", within)
+    if scratch:
+        ranged.write.mode("overwrite").parquet(scratch)
+        ranged = df.sparkSession.read.schema(ranged.schema).parquet(scratch)
+    else:
+        ranged = ranged.persist(StorageLevel.DISK_ONLY_2)
+    numbered = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     # a row for each range
     counts = ranged.groupBy("_part").count()
     offsets = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -84,9 +107,10 @@ def read_submissions(spark: SparkSession, paths: list[str], **options) -> DataFr
             raise FileNotFoundError(p)
     out = None
     for k, path in enumerate(paths):
-        # the place in a file is known only where the file is read in one piece, so files this small are read so
-        raw = read_csv(spark, path).coalesce(1).withColumn("_line", F.monotonically_increasing_id())
-        one = submission(with_ordinal(raw, ["_line"]).drop("_line"), k, **options)
+        # rows of a CSV file with line breaks in its cells are found from its beginning, so one task reads it, and what it
+        # numbers from 0 is the place in the file
+        raw = read_csv(spark, path).coalesce(1).withColumn("user_id", F.monotonically_increasing_id())
+        one = submission(raw, k, **options)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -106,3 +130,15 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrit
 def round_columns(df: DataFrame, places: dict[str, int]) -> DataFrame:
     """Columns rounded half to even, as output files have them."""
     return df.select(*(F.bround(F.col(c), places[c]).alias(c) if c in places else F.col(c) for c in df.columns))
+
+
+def places_of(df: DataFrame, family: str | None = None) -> dict[str, int]:
+    """Decimal places of a family's real columns: predictions and ratings' means two, shares four, others by the family."""
+    real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    own = FAMILY_PLACES.get(family, PLACES)
+    return {c: RATING_PLACES if c.startswith("pred") or c.endswith("avg_rating") else PLACES if c in SHARE_COLUMNS else own for c in real if c != "rating"}
+
+
+def write_family(df: DataFrame, path: str, family: str | None = None, kind: str = "csv") -> None:
+    """A family's rows as its output files have them: keys, rating, features and predictions, rounded."""
+    write(round_columns(df, places_of(df, family)), path, kind)
