@@ -146,13 +146,16 @@ def truncated_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(*KEYS, F.md5(F.col("truncated").cast("binary")).alias("cut_md5"), F.length("truncated").cast("long").alias("n_chars"))
 
 
-def scored(texts: DataFrame, window: int = 1024, stride: int = 512) -> tuple[DataFrame, DataFrame]:
+def scored(texts: DataFrame, window: int = 1024, stride: int = 512, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Counted pairs of words of the texts with scores under the model of all of them, and that model.
 
-    The pairs are dealt by (prev, word) once: their counts and the join with the model both read that exchange.
+    The pairs are dealt by (prev, word) once: their counts and the join with the model both read that exchange. keep: pairs
+    and model are written, for several queries to read.
     """
-    pairs = language.pair_counts(texts, KEYS, window=window, stride=stride).repartition("prev", "word")
+    pairs = language.pair_counts(texts, KEYS, window=window, stride=stride)
+    pairs = tables.stored(pairs) if keep else pairs.repartition("prev", "word")
     model = language.bigram_model(pairs)
+    model = tables.stored(model) if keep else model
     # every pair is in the model, so one join scores all words
     known = pairs.join(model, ["prev", "word"]).select(*KEYS, "prev", "word", "n", language.log_probability().alias("log_prob"), "rank")
     return known, model
@@ -250,17 +253,22 @@ def row_families(df: DataFrame) -> DataFrame:
     return surface.without_words(df)
 
 
-def master(spark: SparkSession, sf: str) -> DataFrame:
-    """All families as one table: keys, rating and features, blank texts' infinities as 0."""
+#: What can be switched off in the master table: a family's columns become zeros.
+FAMILIES = {"sentence_length": SENTENCE, "readability": READABILITY, "lexical": [*LEXICAL, "mtld"], "discourse": [*DISCOURSE, "avg_connective_position"], "sentiment": SENTIMENT, "consistency": CONSISTENCY, "semantic": ["cosine_sim", "q_norm", "r_norm", "norm_gap"], "perplexity": ["perplexity", "avg_logprob", "ppl", "lm_tokens"], "curvature": ["ll_orig", "mean_ll_pert", "std_ll_pert", "curvature_z", "n_perturb_used"], "entity_grid": annotate.GRID}
+
+
+def master(spark: SparkSession, sf: str, on: dict[str, bool] | None = None) -> DataFrame:
+    """All families as one table: keys, rating and features, blank texts' infinities as 0. `on`: families switched off."""
     texts = base.survey(spark, sf)
-    known, model = scored(texts)
-    model = tables.stored(model)
+    known, model = scored(texts, keep=True)
     known = tables.stored(known)
-    out = row_families(texts).drop("question", "text")
+    # written before the joins: the optimizer would derive constraints from all of its expressions for each of them
+    out = tables.stored(row_families(texts).drop("question", "text"))
     ranks = language.token_ranks(known, texts, KEYS)
     for family in (language.perplexity(known, texts, KEYS), ranks, language.curvature(texts, model, KEYS)):
         out = out.join(family, KEYS)
-    return modeling.clean(out, [c for c in modeling.numeric_columns(out) if dict(out.dtypes)[c] == "double"])
+    out = modeling.clean(out, [c for c, kind in out.dtypes if kind == "double" and c != "rating"])
+    return modeling.toggled(out, FAMILIES, on or {})
 
 
 SURFACE_MASTER = [*SENTENCE, *READABILITY, *LEXICAL, "mtld", *DISCOURSE, "avg_connective_position", *SENTIMENT]
