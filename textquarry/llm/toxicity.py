@@ -17,19 +17,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, arrow_map, fold, kept_in_worker, split_words, spread_sample, text_slices
+from .common import WordMemo, arrow_map, fold, kept_in_worker, split_words, spread_sample, text_bytes, text_slices
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 SHORTEST, LONGEST = 3, 5
-#: Labelled documents of each class that are trained on, about, by smallest hash of the id. A bound: more change little.
+#: Labelled documents of each class that are trained on, about, by smallest hash of the id; four times as many rows are
+#: the bound of both, where ids are repeated.
 SAMPLE_PER_CLASS = 1500
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.05, 7
-#: One document in so many of the sample is kept from training and used to calibrate.
-CALIBRATE = 4
+#: Parts of the sample. As many models are trained, each without one part, on which it is calibrated, and averaged.
+FOLDS = 4
 #: Documents' rates of telling words are hundredths; this brings them to the order of one.
 SCALE = 20.0
-MEMO_WORDS = 800_000
+#: Bytes that a worker's memory of words may take, and bytes of text that it cuts at a time.
+MEMO_BYTES, SLICE_BYTES = 48 << 20, 1 << 21
 # bytes that stand in words: letters, digits, the apostrophe and all beyond ASCII; others part them
 IN_WORD = bytes(b if chr(b).isalnum() or b == 39 or b >= 128 else 32 for b in range(256))
 
@@ -95,48 +97,72 @@ class Model:
 
 
 def train(texts: list[bytes], toxic: np.ndarray, class_weight: np.ndarray, seed: int = SEED) -> Model:
-    """Adam over mini-batches on embeddings and softmax together; then a one-dimensional calibration to the classes' weights."""
-    rng = np.random.default_rng(seed)
-    rows = document_matrix(texts)
-    shuffled = rng.permutation(len(rows))
-    apart, fitted = shuffled[: len(rows) // CALIBRATE], shuffled[len(rows) // CALIBRATE :]
-    if len(set(toxic[apart].tolist())) < 2:
-        apart = fitted = shuffled
+    return train_rows(document_matrix(texts), toxic, class_weight, seed)
+
+
+def gradients(e: np.ndarray, w: np.ndarray, bias: np.ndarray, bucket: np.ndarray, weight: np.ndarray, sizes: list[int], toxic: np.ndarray) -> tuple:
+    """Mean cross-entropy of some documents, given as buckets and weights in a row, and its gradients by the embeddings of
+    the buckets that they touch (with these), the softmax's weights and its bias."""
+    n = len(sizes)
+    starts = np.cumsum([0, *sizes])[:-1]
+    hidden = np.add.reduceat(e[bucket] * weight[:, None], starts, axis=0)
+    logits = hidden @ w + bias
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -float(np.log(p[np.arange(n), toxic]).mean())
+    p[np.arange(n), toxic] -= 1
+    p /= n
+    back = p @ w.T
+    doc = np.repeat(np.arange(n), sizes)
+    touched, inverse = np.unique(bucket, return_inverse=True)
+    grad = np.stack([np.bincount(inverse, weight * back[doc, d], len(touched)) for d in range(e.shape[1])], axis=1).astype(e.dtype)
+    return loss, touched, grad, hidden.T @ p, p.sum(axis=0)
+
+
+def fitted_values(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Adam over mini-batches on embeddings and softmax together; what each bucket's embedding adds to the logit of toxic."""
     e, w = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, bias)]
     step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(fitted)
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             bucket = np.concatenate([rows[i][0] for i in pick])
             weight = np.concatenate([rows[i][1] for i in pick])
-            starts = np.cumsum([0, *[len(rows[i][0]) for i in pick]])[:-1]
-            hidden = np.add.reduceat(e[bucket] * weight[:, None], starts, axis=0)
-            logits = hidden @ w + bias
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(pick)), toxic[pick]] -= 1
-            p /= len(pick)
-            back = p @ w.T
-            doc = np.repeat(np.arange(len(pick)), np.diff([*starts, len(bucket)]))
-            touched, inverse = np.unique(bucket, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, weight * back[doc, d], len(touched)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            _, touched, grad, by_w, by_bias = gradients(e, w, bias, bucket, weight, [len(rows[i][0]) for i in pick], toxic[pick])
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
-            for k, (value, g, index) in enumerate(((e, grad, touched), (w, hidden.T @ p, slice(None)), (bias, p.sum(axis=0), slice(None)))):
+            for k, (value, g, index) in enumerate(((e, grad, touched), (w, by_w, slice(None)), (bias, by_bias, slice(None)))):
                 m, v = state[k]
                 m[index] = 0.9 * m[index] + 0.1 * g
                 v[index] = 0.99 * v[index] + 0.01 * g * g
                 value[index] -= rate * (m[index] / (1 - 0.9**step)) / (np.sqrt(v[index] / (1 - 0.99**step)) + 1e-6)
-    values = e @ (w[:, 1] - w[:, 0])
-    means = np.array([float(values[rows[i][0]] @ rows[i][1]) / SCALE for i in apart])
+    return e @ (w[:, 1] - w[:, 0])
+
+
+def train_rows(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, class_weight: np.ndarray, seed: int = SEED) -> Model:
+    """Models of FOLDS parts of the rows, each trained on the others, averaged at equal spread of their means on their own
+    part; then a one-dimensional calibration of these means to the classes' weights."""
+    rng = np.random.default_rng(seed)
+    part = np.empty(len(rows), np.int64)
+    part[rng.permutation(len(rows))] = np.arange(len(rows)) % FOLDS
+    values, means = np.zeros(BUCKETS), np.zeros(len(rows))
+    for k in range(FOLDS):
+        fit, apart = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if len(set(toxic[fit].tolist())) < 2 or not len(apart):
+            fit = apart = np.arange(len(rows))
+        own = fitted_values([rows[i] for i in fit], toxic[fit], rng)
+        got = np.array([float(own[rows[i][0]] @ rows[i][1]) / SCALE for i in apart])
+        spread = max(float(got.std()), 1e-9)
+        values += own / spread / FOLDS
+        means[apart] = got / spread
     # two-parameter logistic regression on the means, by Newton steps; classes count as often as in the table
     unit = max(float(means.std()), 1e-9)
     x = np.stack([means / unit, np.ones(len(means))], axis=1)
-    theta, known, sample = np.zeros(2), toxic[apart], class_weight[toxic[apart]]
+    theta, known, sample = np.zeros(2), toxic, class_weight[toxic]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         g = x.T @ (sample * (p - known)) + 1e-3 * theta
@@ -152,16 +178,26 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     if len(counts) < 2:
         share = 0.01 if not counts else 0.99 if 1 in counts else 0.01
         return Model(np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share))))
-    # about two classes x per_class rows at most
+    # about two classes x per_class ids
     sample = spread_sample(known, "y", counts, per_class).select("doc_id", "y")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "y").select("text", "y").collect()
-    y = np.array([r.y for r in picked], np.int64)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    # buckets and weights go to the driver, not texts, and rows of repeated ids are bounded as well
+    order = [F.xxhash64("doc_id", "text"), "doc_id", "y"]
+    picked = arrow_map(texts.orderBy(*order).limit(4 * per_class).select("text", "y"), sampled, "bucket array<int>, weight array<float>, y int").toArrow()
+    y = picked.column("y").to_numpy().astype(np.int64)
     seen = np.bincount(y, minlength=2)
     if not seen.all():
         share = min(max(counts[1] / sum(counts.values()), 0.01), 0.99)
         return Model(np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share))))
     weight = np.array([counts[0], counts[1]]) / seen
-    return train([r.text.encode() for r in picked], y, weight / weight.mean())
+    rows = [(b.values.to_numpy(), w.values.to_numpy()) for b, w in zip(picked.column("bucket"), picked.column("weight"), strict=True)]
+    return train_rows(rows, y, weight / weight.mean())
+
+
+def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in text_slices(whole, 0, SLICE_BYTES)):
+        rows = document_matrix(text_bytes(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), batch.column(1)], names=["bucket", "weight", "y"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,8 +207,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        memo = kept_in_worker(name, lambda: WordMemo(lambda v: [x.tobytes() for x in m.word_values(v).astype(np.float32)], MEMO_WORDS))
-        for batch in (part for whole in batches for part in text_slices(whole, 1)):
+        memo = kept_in_worker(name, lambda: WordMemo(lambda v: [x.tobytes() for x in m.word_values(v).astype(np.float32)], MEMO_BYTES))
+        for batch in (part for whole in batches for part in text_slices(whole, 1, SLICE_BYTES)):
             spaced = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(batch.column(1), "")), pattern=NOT_IN_WORD, replacement=" ")
             bounds, index, distinct = split_words(spaced)
             values = np.frombuffer(b"".join(memo.get(distinct)), np.float32).astype(np.float64)
@@ -184,7 +220,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted. Null texts count as empty; repeated rows are scored alike;
-    labels that are null or neither 0 nor 1 are not learned from; an empty table gives no rows."""
+    """One row a document: doc_id, held_out, score, predicted. Null texts count as empty, and an empty text has the score of
+    the bias alone; texts may be of any length, and are cut into words whole; repeated rows, and rows of one id, are scored
+    each by its text; a null id is scored, not learned from; labels that are null or neither 0 nor 1 are not learned from,
+    and an id with both labels counts for both; an empty table gives no rows; further columns, of any name, are ignored."""
     scored = predict(docs, learn(docs, labels, column))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
