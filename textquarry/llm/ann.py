@@ -2,9 +2,13 @@
 
 Every curve rotates the vectors by an orthogonal matrix of its own, keeps a few coordinates, shifts and quantises them,
 and orders the points along the Hilbert curve of that grid. Spark range-partitions the points by key; their ranks cut each
-curve into tiles of equal size. A query looks through the tiles around its own on every curve; what it finds there is
-merged and ranked by exact inner products. Vectors of unequal length are lifted to one sphere first, so that a large inner
-product is a small distance. Equal vectors are one point that carries its smallest ids.
+curve into tiles of equal size. A query's candidates are the points of the tiles around its own on every curve, merged and
+ranked by exact inner products. Vectors of unequal length are lifted to one sphere first, so that a large inner product is
+a small distance. Equal vectors are one point that carries its smallest ids.
+
+A point's vector is moved once, to its home, the tile that it has on the first curve; curves ship numbers alone. A query
+goes once to each home that holds a candidate of any curve, and is compared with all points there, so it never costs more
+than a look at every point.
 
 How many tiles are needed depends on the data. A fixed number of queries is answered exactly, and the window is made so
 wide that it would have found the wished share of their neighbours: narrow where the vectors have clusters, up to whole
@@ -16,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,6 +31,8 @@ CURVES, GRID_DIMENSIONS, GRID_BITS, SEED = 6, 8, 7, 11
 TILE_POINTS = 2048
 #: Queries that are answered exactly to set the window, and the share of their neighbours that it must hold.
 CALIBRATION_QUERIES, WISHED_RECALL = 128, 0.97
+#: Queries that are compared with a tile's points at a time, in one task.
+QUERY_BLOCK = 4096
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -86,11 +91,10 @@ def matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: ids and components not null, finite, not all zero, of the commonest size."""
+    """(vec_id, v) of the vectors that take part: ids and components not null, finite, not all zero."""
     v = F.col("embedding").cast("array<double>")
-    ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
-    common = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-    return ok.join(F.broadcast(common.select("d")), F.size("v") == F.col("d"), "left_semi")
+    ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    return ok.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 def points(rows: DataFrame, smallest: int) -> DataFrame:
@@ -140,33 +144,24 @@ def ranked(nodes: DataFrame, dimension: int, longest: float, curves: int) -> Dat
     return materialise(placed.join(offsets, ["part", "curve"]).select("curve", "node", (F.col("at") + F.col("offset")).alias("rank")), "ranks")
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, each summed in one fixed order, so that equal vectors have equal products."""
-    return (a * b).sum(axis=1)
-
-
-def best_of(q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def best_of(q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each query, the k best of the points' ids by (product, smaller id): ids and exact products."""
-    counts = np.array([len(i) for i in ids])
-    owner, flat = np.repeat(np.arange(len(ids)), counts), np.array([j for i in ids for j in i], np.int64)
-    products, out = q @ x.T, []
     near = min(len(x), k + 8)
-    for row, v in zip(products, q, strict=True):
-        pick = np.argpartition(-row, near - 1)[:near] if near < len(x) else np.arange(len(x))
-        value = np.full(len(x), -np.inf)
-        value[pick] = exact(x[pick], np.broadcast_to(v, (len(pick), len(v))))
-        among = np.flatnonzero(np.isin(owner, pick))
-        order = among[np.lexsort((flat[among], -value[owner[among]]))][:k]
-        out.append((flat[order], value[owner[order]]))
-    return out
-
-
-def merge_best(group: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, scores = np.concatenate(group["ids"].to_list()), np.concatenate(group["scores"].to_list())
-    ids, first = np.unique(ids, return_index=True)
-    scores = scores[first]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+    products = q @ x.T
+    pick = np.argpartition(-products, near - 1, axis=1)[:, :near] if near < len(x) else np.broadcast_to(np.arange(len(x)), products.shape)
+    values = (x[pick] * q[:, None, :]).sum(axis=2)
+    if all(len(i) == 1 for i in ids):
+        flat = np.array([i[0] for i in ids], np.int64)[pick]
+        order = np.lexsort((flat, -values), axis=1)[:, :k]
+        return list(np.take_along_axis(flat, order, 1)), list(np.take_along_axis(values, order, 1))
+    found, scores = [], []
+    for points, value in zip(pick, values, strict=True):
+        flat = np.array([j for p in points for j in ids[p]], np.int64)
+        value = np.repeat(value, [len(ids[p]) for p in points])
+        order = np.lexsort((flat, -value))[:k]
+        found.append(flat[order])
+        scores.append(value[order])
+    return found, scores
 
 
 def window_tiles(nodes: DataFrame, ranks: DataFrame, queries: DataFrame, dimension: int, k: int, curves: int, tile: int) -> int:
@@ -196,66 +191,91 @@ def window_tiles(nodes: DataFrame, ranks: DataFrame, queries: DataFrame, dimensi
     return int(np.quantile(away, WISHED_RECALL, method="higher"))
 
 
+def homes_of_queries(asked: DataFrame, ranks: DataFrame, reach: int, tile: int) -> DataFrame:
+    """(node, home): the tiles of the first curve that hold a candidate of a query, of the `reach` tiles on either side of its own
+    on any curve."""
+    where = ranks.select("curve", "node", F.floor(F.col("rank") / tile).cast("int").alias("tile"))
+    home = where.where("curve = 0").select("node", F.col("tile").alias("home"))
+    # a row a tile, with the homes of its points; then with those of the tiles around it
+    held = where.join(home, "node").groupBy("curve", "tile").agg(F.collect_set("home").alias("homes"))
+    last = held.groupBy("curve").agg(F.max("tile").alias("last"))
+    centres = F.sequence(F.greatest(F.lit(0), F.col("tile") - reach), F.least("last", F.col("tile") + reach))
+    near = held.join(F.broadcast(last), "curve").select("curve", F.explode(centres).alias("tile"), "homes")
+    around = near.groupBy("curve", "tile").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+    of_queries = where.join(asked.select("node"), "node").join(around, ["curve", "tile"])
+    return of_queries.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes")).select("node", F.explode("homes").alias("home"))
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, tile: int = TILE_POINTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k nearest found among all
-    others, by largest inner product in double precision, ties to the smaller id.
+    others of its length, by largest inner product in double precision, ties to the smaller id.
 
-    Vectors null, zero, holding null or non-finite components, of a null id or of an uncommon size take no part. Rows of
-    one id and one vector count as one. An empty table gives no rows; further columns are ignored.
+    Vectors null, zero, holding null or non-finite components, or of a null id take no part; vectors of several lengths are
+    searched length by length, as products exist within one only. Rows of one id and one vector count as one; rows of one
+    id and different vectors are queries and candidates each, and a query does not find its own id. Long vectors cost in
+    proportion. An empty table gives no rows; further columns, of any name, are ignored.
     """
-    spark = vectors.sparkSession
     rows = materialise(usable(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    facts = rows.agg(F.max(F.size("v")).alias("d"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).first()
-    if facts.d is None:
-        return empty
-    d, longest = facts.d, facts.longest
+    facts = rows.groupBy(F.size("v").alias("d")).agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in facts.orderBy("d").collect():  # a row a length
+        out = out.union(search_length(rows.where(F.size("v") == r.d), r.d, r.longest, every, k, curves, tile))
+    return out
+
+
+def search_length(rows: DataFrame, d: int, longest: float, every: int, k: int, curves: int, tile: int) -> DataFrame:
+    """search() among vectors of one length; rows has different (vec_id, v)."""
     nodes = materialise(points(rows, k + 1), "points")
-    asked = materialise(points(rows.where(F.pmod("vec_id", F.lit(every)) == 0), 1).select("v").join(nodes.select("node", "v"), "v"), "queries")
+    own = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asked = materialise(points(own, 1).select("v").join(nodes.select("node", "v"), "v"), "queries")
     ranks = ranked(nodes, d, longest, curves)
     reach = window_tiles(nodes, ranks, asked, d, k, curves, tile)
-    where = ranks.select("curve", "node", F.floor(F.col("rank") / tile).cast("int").alias("tile"))
-    last = where.groupBy("curve").agg(F.max("tile").alias("last"))
-    data = nodes.join(where, "node").select(F.col("curve").alias("on_curve"), F.col("tile").alias("in_tile"), "v", "ids")
-    looks = asked.join(where, "node").join(F.broadcast(last), "curve").select("curve", "node", "v", F.explode(F.sequence(F.greatest(F.lit(0), F.col("tile") - reach), F.least("last", F.col("tile") + reach))).alias("tile"))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    looks = materialise(homes_of_queries(asked, ranks, reach, tile), "looks")
+    blocks = materialise(looks.groupBy("home").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")), "blocks")
+    home = ranks.where("curve = 0").select("node", F.floor(F.col("rank") / tile).cast("int").alias("home"))
+    # a tile's points once for each block of its queries
+    data = nodes.join(home, "node").join(blocks, "home").select(F.col("home").alias("in_home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("in_block"), "v", "ids")
+    queries = looks.join(blocks, "home").join(asked, "node").select("home", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", "v")
+    schema = pa.schema([("node", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "ids": [], "scores": []})
-        q, x = (np.frombuffer(b"".join(t["v"]), np.float64).reshape(-1, d) for t in (left, right))
-        found = [b for at in range(0, len(q), 256) for b in best_of(q[at : at + 256], x, right["ids"].to_list(), k + 1)]
-        return pd.DataFrame({"node": left["node"], "ids": [f[0] for f in found], "scores": [f[1] for f in found]})
-
-    partial = looks.groupBy("curve", "tile").cogroup(data.groupBy("on_curve", "in_tile")).applyInPandas(compare, "node long, ids array<long>, scores array<double>")
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        ids, scores = merge_best(group, k + 1)
-        return pd.DataFrame({"node": [group["node"].iloc[0]], "ids": [ids], "scores": [scores]})
-
-    best = materialise(partial.groupBy("node").applyInPandas(merge, "node long, ids array<long>, scores array<double>"), "best")
-    # each query id takes its vector's list without itself
-    own = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v")
+            return schema.empty_table()
+        q, x = (np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(-1, d) for t in (left, right))
+        ids, found = right.column("ids").to_pylist(), ([], [])
+        for at in range(0, len(q), 256):
+            for all_of, part in zip(found, best_of(q[at : at + 256], x, ids, k + 1), strict=True):
+                all_of += part
+        return pa.table([left.column("node"), pa.array(found[0], schema.field("ids").type), pa.array(found[1], schema.field("scores").type)], schema=schema)
+
+    partial = queries.groupBy("home", "block").cogroup(data.groupBy("in_home", "in_block")).applyInArrow(compare, "node long, ids array<long>, scores array<double>")
+    # a query's lists from its homes, k + 1 from each, hold different points
+    ordered = partial.select("node", F.arrays_zip(F.transform("scores", lambda x: -x).alias("less"), F.col("ids").alias("id")).alias("found"))
+    best = ordered.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
+    best = materialise(best, "best")
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, d) + 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in flat], pa.binary())], names=["query_id", "v"])
 
-    named = materialise(arrow_map(own, packed, "query_id long, v binary"), "own").join(asked, "v").select("query_id", "node")
-    lists = materialise(named, "own").join(best, "node").select("query_id", F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id")).alias("found"))
+    # each query id takes its vector's list without itself
+    named = materialise(arrow_map(own.select(F.col("vec_id").alias("query_id"), "v"), packed, "query_id long, v binary"), "own").join(asked, "v").select("query_id", "node")
+    lists = named.join(best, "node").select("query_id", F.filter("found", lambda x: x["id"] != F.col("query_id")).alias("found"))
     listed = lists.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("at", "one"))
-    return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.ids").alias("vec_id"), F.col("one.scores").alias("score"))
+    return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.id").alias("vec_id"), (F.lit(0.0) - F.col("one.less")).alias("score"))
 
 
 def recall(found: DataFrame, vectors: DataFrame, every: int = 20, k: int = 20) -> float:
     """Share of the exact k nearest of a small table that `found` has; for tests and measurements."""
     rows = usable(vectors).dropDuplicates(["vec_id", "v"]).toPandas().sort_values("vec_id")
-    x, ids = np.stack(rows["v"].to_list()), rows["vec_id"].to_numpy()
     got = found.groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).toPandas().set_index("query_id")["ids"].to_dict()
     hit = total = 0
-    for i in np.flatnonzero(ids % every == 0):
-        s = exact(x, np.broadcast_to(x[i], x.shape))
-        order = np.lexsort((ids, -s))
-        true = ids[order[order != i]][:k].tolist()
-        hit, total = hit + len(set(true) & set(got.get(ids[i], []))), total + len(true)
+    for _, alike in rows.groupby(rows["v"].map(len)):
+        x, ids = np.stack(alike["v"].to_list()), alike["vec_id"].to_numpy()
+        for i in np.flatnonzero(ids % every == 0):
+            s = (x * x[i]).sum(axis=1)
+            order = np.lexsort((ids, -s))
+            true = ids[order[order != i]][:k].tolist()
+            hit, total = hit + len(set(true) & set(got.get(ids[i], []))), total + len(true)
     return hit / max(total, 1)
