@@ -2,8 +2,8 @@
 
 Each language has smoothed counts of byte trigrams, learned from labelled texts. Every word of a document gets a
 likelihood in each language from its trigrams; expectation-maximisation then estimates in what proportions the languages
-make up the document. Sets of its one, two or three strongest languages are fitted so, and the set of best likelihood,
-less a penalty for each language in it, is chosen; its largest proportion names the document.
+make up the document. Sets of its strongest languages are fitted so, of one, two and more, as long as the likelihood less a
+penalty for each language rises; the last set is chosen, and its largest proportion names the document.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, spread_sample, text_strings
+from .common import arrow_map, fold, text_slices, text_strings
 
 BUCKETS = 1 << 16
 #: Labelled texts of each language that are learned from, about, by smallest hash of the id. A bound: more change little.
 SAMPLE_PER_LANGUAGE = 600
-#: Languages at most; the commonest labels are taken.
-MAX_LANGUAGES = 64
 ROUNDS = 8
+#: Likelihoods (words x languages) that a worker has at a time, a text of more alone.
+LIKELIHOODS = 1 << 19
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]").search
 # bytes that stand in words: a-z and all beyond ASCII; others become a space
@@ -71,10 +71,10 @@ class Model:
         return np.exp(log - top[:, None]), top, np.array(sizes, np.int64)
 
 
-def fit(like: np.ndarray, starts: np.ndarray, doc: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit(like: np.ndarray, starts: np.ndarray, doc: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """EM for all texts at once: proportions over the allowed languages, and the log-likelihood of each text."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         weight = like * share[doc]
         weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1e-30)
         share = np.add.reduceat(weight, starts, axis=0) / sizes[:, None]
@@ -82,7 +82,34 @@ def fit(like: np.ndarray, starts: np.ndarray, doc: np.ndarray, sizes: np.ndarray
     return share, np.add.reduceat(mixed, starts)
 
 
-def identify(model: Model, texts: list[str], penalty: float = 2.0, set_size: int = 3) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
+def fit_sets(like: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """Proportions of the languages in each text by its chosen set, 0 outside of it. sizes: words of each text, none 0."""
+    count, rows = like.shape[1], np.arange(len(sizes))
+
+    def fitted(at: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        """Of some texts."""
+        n = sizes[at]
+        starts = np.r_[0, np.cumsum(n)[:-1]]
+        mine = like if len(at) == len(sizes) else like[np.repeat(np.isin(rows, at), sizes)]
+        return fit(mine, starts, np.repeat(np.arange(len(at)), n), n.astype(np.float32), allowed, rounds)
+
+    whole, _ = fitted(rows, np.ones((len(rows), count), np.float32))
+    order = np.argsort(-whole, axis=1, kind="stable")
+    best, chosen = np.full(len(rows), -np.inf), np.zeros((len(rows), count), np.float32)
+    rising, k = rows, 1
+    while len(rising) and k <= count:
+        allowed = np.zeros((len(rising), count), np.float32)
+        np.put_along_axis(allowed, order[rising, :k], 1, axis=1)
+        share, log = fitted(rising, allowed, ROUNDS if k > 1 else 0)
+        value = log - penalty * k * np.log(sizes[rising] + 1)
+        better = value > best[rising]
+        rising = rising[better]
+        best[rising], chosen[rising] = value[better], share[better]
+        k += 1
+    return chosen
+
+
+def identify(model: Model, texts: list[str], penalty: float = 2.0) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
     """Language, score and the chosen languages with their proportions of each text."""
     like, _, sizes = model.likelihoods(texts)
     names, scores, sets = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
@@ -92,20 +119,7 @@ def identify(model: Model, texts: list[str], penalty: float = 2.0, set_size: int
     if len(rows) < (sizes > 0).sum():
         keep = np.repeat(np.isin(np.arange(len(texts)), rows), sizes)
         like = like[keep]
-    sizes = sizes[rows].astype(np.float32)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), sizes.astype(int))
-    count = len(model.languages)
-    whole, _ = fit(like, starts, doc, sizes, np.ones((len(rows), count), np.float32))
-    order = np.argsort(-whole, axis=1, kind="stable")
-    best, chosen = np.full(len(rows), -np.inf), np.zeros((len(rows), count), np.float32)
-    for k in range(1, min(set_size, count) + 1):
-        allowed = np.zeros((len(rows), count), np.float32)
-        np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-        share, log = fit(like, starts, doc, sizes, allowed)
-        value = log - penalty * k * np.log(sizes + 1)
-        better = value > best
-        best[better], chosen[better] = value[better], share[better]
+    chosen = fit_sets(like, sizes[rows], penalty)
     top = chosen.argmax(axis=1)
     for r, t, p in zip(rows.tolist(), top.tolist(), chosen, strict=True):
         names[r], scores[r] = model.languages[t], min(1.0, float(p[t]))
@@ -113,74 +127,87 @@ def identify(model: Model, texts: list[str], penalty: float = 2.0, set_size: int
     return names, scores, sets
 
 
-def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Trigram counts of a bounded sample of the rows with a language outside the held-out fold."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(fold() != 0)
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """Trigram counts of a bounded sample of each language's rows outside the held-out fold; every label is a language, so
+    the model has BUCKETS numbers for each."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and doc_id is not null").where(fold() != 0)
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
-    # about max_languages x per_language ids at most
-    sample = spread_sample(known, "lang", sizes, per_language).select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left_semi").where(F.col("lang").isin(languages)).select("lang", "text")
+    scale = 1 << 40
+    limits = docs.sparkSession.createDataFrame([(x, min(scale, -(-scale * per_language // n))) for x, n in sizes.items()], "lang string, most long")
+    # a row a language; about so many languages x per_language ids go on
+    texts = known.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("most")).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), text_strings(batch.column(1)), strict=True):
-                total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                total[lang] += np.bincount(trigrams(text)[0], minlength=BUCKETS)
-        yield pa.RecordBatch.from_pylist([{"lang": k, "data": v.astype(np.float32).tobytes()} for k, v in total.items()], schema=pa.schema([("lang", pa.string()), ("data", pa.binary())]))
-
+                found, n = np.unique(trigrams(text)[0], return_counts=True)
+                total.setdefault(lang, np.zeros(BUCKETS, np.int64))[found] += n
+        for lang, n in total.items():
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(met), pa.string()), pa.array(met, pa.int32()), pa.array(n[met], pa.int64())], names=["lang", "bucket", "n"])
+
+    # sparse rows, BUCKETS a language at most
+    met = arrow_map(texts, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), BUCKETS))
-    for row in arrow_map(texts.coalesce(4), count, "lang string, data binary").collect():  # a row a language and task
-        counts[languages.index(row.lang)] += np.frombuffer(row.data, np.float32)
+    place = {x: k for k, x in enumerate(languages)}
+    counts[[place[x] for x in met.column("lang").to_pylist()], met.column("bucket").to_numpy()] = met.column("n").to_numpy()
     return Model(languages, counts)
 
 
+def text_runs(model: Model, texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts whose likelihoods are about LIKELIHOODS, at six characters a word."""
+    most, at = 6 * LIKELIHOODS // max(len(model.languages), 1), 0
+    while at < len(texts):
+        end, load = at, 0
+        while end < len(texts) and (end == at or load + len(texts[end]) <= most):
+            load += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, languages): und with score 0 for a null text or one without a letter."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets, whatever the data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, at = text_strings(batch.column(1)), 0
-            while at < len(texts):
-                end, load = at, 0
-                while end < len(texts) and load < 1 << 20:
-                    load += len(texts[end])
-                    end += 1
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
+            texts = text_strings(batch.column(1))
+            for at, end in text_runs(shipped.value, texts):
                 names, scores, sets = identify(shipped.value, texts[at:end])
                 found = pa.array([[{"lang": k, "share": v} for k, v in s] for s in sets], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(names, pa.string()), pa.array(scores, pa.float64()), found], names=["doc_id", "lang_pred", "score", "languages"])
-                at = end
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """Learn from docs, then one row a document: doc_id, held_out, lang_pred, score, languages. Repeated rows are scored
-    alike; an empty table, or one without a label to learn from, gives und throughout; null ids are scored, not learned from."""
+    """Learn from docs, then one row a document: doc_id, held_out, lang_pred, score, languages. A null text, an empty one and
+    one without a letter are und with score 0; texts may be of any length and are read whole; repeated rows, and rows of one
+    id, are scored each by its text; null ids are scored, not learned from; of languages that fit alike (ties) the first in
+    order of their names is taken; an empty table gives no rows, and one without a label to learn from und throughout;
+    further columns, of any name, are ignored."""
     return predict(docs, learn(docs)).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "languages")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """docs without those that have no language: no letter, or no language that makes up `least` of the words."""
+    """docs without those that have no language: no letter, or no language that makes up `least` of the words. So null and
+    empty texts go; repeated rows, and rows of null ids, stay or go by their texts, of any length; an empty table stays empty;
+    columns of any name stay as they are. Without a label to learn from nothing has a language, and every row goes."""
     model = learn(docs)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, at = text_strings(batch.column(text_at)), 0
-            while at < len(texts):
-                end, load = at, 0
-                while end < len(texts) and load < 1 << 20:
-                    load += len(texts[end])
-                    end += 1
+        for batch in (part for whole in batches for part in text_slices(whole, text_at)):
+            texts = text_strings(batch.column(text_at))
+            for at, end in text_runs(shipped.value, texts):
                 names, scores, _ = identify(shipped.value, texts[at:end])
                 ok = [n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]
                 yield batch.slice(at, end - at).filter(pa.array(ok, pa.bool_()))
-                at = end
 
     return docs.mapInArrow(run, docs.schema)

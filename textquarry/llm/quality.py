@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, materialise, text_bytes, words_of
+from .common import arrow_map, fold, materialise, text_bytes, text_slices, words_of
 
 #: Shrinkage of each class's covariance to the pooled one, and of that to the identity times its mean variance.
 TO_POOLED, TO_IDENTITY = 0.1, 0.01
@@ -79,7 +79,7 @@ def features(docs: DataFrame) -> DataFrame:
     """(doc_id, x) of every whole text; null as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in text_bytes(batch.column(1))], pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, x array<double>")
@@ -133,8 +133,11 @@ def learn(rows: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted. Null texts count as empty; repeated rows are scored alike;
-    without labels of both classes the score is the share of 1; an empty table gives no rows."""
+    """One row a document: doc_id, held_out, score, predicted. Null texts count as empty, and an empty text has a score of its
+    own statistics; texts may be of any length and are read whole; repeated rows, and rows of one id, are scored each by its
+    text, and each counts where its id is learned from; a null id is scored, not learned from; labels that are null or
+    neither 0 nor 1 are not learned from; without labels of both classes the score is the share of 1; an empty table gives
+    no rows; further columns, of any name, are ignored."""
     rows = materialise(features(docs), "features")
     shipped = docs.sparkSession.sparkContext.broadcast(learn(rows, labels, column))  # two matrices
 
