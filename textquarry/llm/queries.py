@@ -7,14 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, quality, sharding, simhash, substring, tokenfile, toxicity
-from .common import table
-
-
-def tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from . import ann, bpe, decontam, langid, pipeline, quality, sharding, simhash, substring, tokenfile, toxicity
+from .common import table, tokenizer
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +52,16 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(table(spark, sf_dir, "documents"), width=20)
 
 
+def pipeline_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": pipeline.run}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_ann, op4_bpe, op5_sharding, op6_langid, op7_decontam, op8_quality, op9_tokenfile, op10_substring)}
+    return pipeline_queries() | {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_ann, op4_bpe, op5_sharding, op6_langid, op7_decontam, op8_quality, op9_tokenfile, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": op5_sql(), "op10_substring": OP10_SQL}
+    return {"op5_sharding": op5_sql(), "op10_substring": OP10_SQL} | ({} if pipeline.ORACLE_SQL is None else {"pipeline": pipeline.ORACLE_SQL})
 
 
 def op5_sql(shards: int = 40, slots: int = sharding.SLOTS) -> str:
