@@ -1,66 +1,8 @@
-"""The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, tokens."""
+"""The corpus pipeline's stages, as textquarry.llm.pipeline has them."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from textquarry.llm.pipeline import ORACLE_SQL, STAGES, run
+from textquarry.llm.queries import pipeline_queries as queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-from textquarry.llm import bpe, decontam, langid, simhash, substring
-from textquarry.llm.common import shared_dir, table
-from textquarry.llm.queries import tokenizer
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language makes up a third of the words, go."""
-    return langid.keep_identified(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 20 words that an earlier document has are cut out; every document stays."""
-    return substring.remove_repeats(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, as it is or with other numbers and names, go."""
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
-    return bpe.encode_digest(docs, tokenizer("byte_bpe_50k.json"))
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", language),
-    ("simhash near-dedup", near_dedup),
-    ("substring dedup", substring_dedup),
-    ("benchmark decontamination", decontaminate),
-    ("bpe encoding and decoding", encode),
-]
-
-#: SimHash, language models and BPE are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": run}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
+__all__ = ["ORACLE_SQL", "STAGES", "queries", "run"]
