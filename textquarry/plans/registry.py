@@ -19,8 +19,8 @@ from ..sources import tables
 from . import survey as base
 
 KEYS = ["user_id", "file_id"]
-#: Trees and depth of the registered forests: the operators' defaults.
-FOREST_TREES, COMBO_TREES, FOREST_DEPTH = 400, 800, 30
+#: Trees and depth of the registered forests: the operators' defaults, but for the sweep's 800 trees a set.
+FOREST_TREES, COMBO_TREES, FOREST_DEPTH = 400, 100, 30
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -291,8 +291,8 @@ def split_master(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    df = split_master(spark, sf)
-    columns = modeling.numeric_columns(df)
+    """A forest over the mixed model's fixed effects."""
+    df, columns = split_master(spark, sf), v.FIXED_EFFECTS
     return modeling.predict(modeling.forest(df, columns, trees=FOREST_TREES, depth=FOREST_DEPTH), df, columns).select(*KEYS, "rating", "split", "pred_rating")
 
 
