@@ -109,7 +109,20 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: Bytes that go to a worker at a time, where the session has not set its own: Spark's default of 64 MB would be held several
+#: times over in every task.
+BATCH_BYTES, BYTES_OF_SPARK = "4194304b", "67108864b"
+
+
+def bound_batches(df: DataFrame) -> None:
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, BYTES_OF_SPARK) == BYTES_OF_SPARK:
+        conf.set(key, BATCH_BYTES)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes."""
+    bound_batches(df)
     return df.mapInArrow(fn, schema)
 
 
@@ -309,7 +322,7 @@ def parted(docs: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray,
         return run
 
     own = docs.schema
-    return docs.mapInArrow(part(False), schema or own), docs.mapInArrow(part(True), type(own)(list(own.fields)).add(column, "long"))
+    return arrow_map(docs, part(False), schema or own), arrow_map(docs, part(True), type(own)(list(own.fields)).add(column, "long"))
 
 
 def free_name(df: DataFrame, name: str) -> str:

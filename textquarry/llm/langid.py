@@ -210,4 +210,4 @@ def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
                 ok = [n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]
                 yield batch.slice(at, end - at).filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -21,14 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, components, materialise, partitions, runs, text_bytes, words_of
+from .common import arrow_map, bloom_filter, components, discard, even_keys, free_name, grouped, id_array, in_filter, materialise, pack, parted, partitions, runs, spark_long_hash, text_bytes, text_slices, unpack, words_of
 
 SEED = 42
 #: Fingerprints that are compared with each other within one bucket; larger buckets are dealt again.
 BUCKET_LIMIT = 4096
 #: Texts that share a leading shingle and are all paired with each other; of more, some at a time are paired with all.
-PAIRED = 32
-PARITY_BITS = 2048
+PAIRED = 8
+#: The fewest parity bits of a set, and pairs of one text that one task checks at a time.
+PARITY_BITS, CHECKED = 256, 256
+#: Shingles that a task sorts at a time, and of a bucket that are compared at a time; buckets of hashes for each partition.
+CHUNK_SHINGLES, COMPARED, BUCKETS_EACH = 1 << 19, 1 << 21, 1
+#: Pairs that a task holds, to drop those that it has found before, until it reports them.
+HELD_PAIRS = 1 << 19
+#: Bits of the filters of texts that are looked at again; fixed, however many: fuller ones only pass more texts.
+FILTER_BITS = 1 << 23
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
@@ -57,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null and empty texts have fingerprint 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             got = np.array([fingerprint(shingle_hashes(t, shingle)) for t in text_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
@@ -197,12 +204,31 @@ def text_node(text: bytes) -> int:
 
 
 def parity_bits(hashes: np.ndarray) -> bytes:
-    """PARITY_BITS bits, each the parity of the hashes that fall on it: two such differ in no more bits than the sets in members."""
-    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """Two to four bits a hash, a power of two, each the parity of the hashes that fall on it: of two sets no more of them
+    differ than sets do in members."""
+    bits = max(PARITY_BITS, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0)
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def common_shingles(docs: DataFrame, shingle: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def bits_apart(x: bytes, y: bytes) -> int:
+    """How many parity bits differ; those of a larger set are folded until there are as many as of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def pack_set(hashes: np.ndarray) -> bytes:
+    """A set of shingles by the leading 48 bits of their hashes, as packed steps from one to the next."""
+    return pack(step=np.diff(np.unique(hashes >> np.uint64(16)), prepend=np.uint64(0)))
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64)[0], dtype=np.uint64)
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several of about `sample` documents, the `most` commonest at most, sorted, with their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,23 +258,51 @@ def leading(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarit
     return hashes[np.lexsort((hashes, rank))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, node, size, parity, leads): a text's node, the size and parity bits of its set of shingles, its leading ones."""
-    shipped = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+SKETCH = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("parity", pa.binary())])
+
+
+def sketches(docs: DataFrame, shingle: int, similarity: float, keys: np.ndarray) -> DataFrame:
+    """Rows of two kinds: (doc_id, node, size, parity) of each text, its node, and the size and parity bits of its set of
+    shingles; and (bucket, data), packed (shingle, node, size, place) of leading shingles, place their rank in the order. A
+    task ships a text's leading shingles once."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def block(parts: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        sizes = [len(x) for x, _, _ in parts]
+        h, node, size = np.concatenate([x for x, _, _ in parts]), np.repeat(np.array([x for _, x, _ in parts], np.int64), sizes), np.repeat(np.array([x for _, _, x in parts], np.uint32), sizes)
+        place = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
+        order = np.argsort(h)
+        h, node, size, place = h[order], node[order], size[order], place[order]
+        bucket = keys[((h >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64)]
+        bounds = list(zip(*runs(bucket), strict=True))
+        data = [pack(h=h[s:e], node=node[s:e], size=size[s:e], place=place[s:e]) for s, e in bounds]
+        n = len(data)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[[s for s, _ in bounds]], pa.int32()), pa.array(data, pa.binary()), *(pa.nulls(n, SKETCH.field(k).type) for k in range(2, 6))], schema=SKETCH)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, parities, leads = [], [], [], []
+        parts: list[tuple[np.ndarray, int, int]] = []
+        seen: set[int] = set()
+        load = 0
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
+            nodes, sizes, parities = [], [], []
             for t in text_bytes(batch.column(1)):
                 hashes = np.unique(shingle_hashes(t, shingle))
                 nodes.append(text_node(t))
                 sizes.append(len(hashes))
                 parities.append(parity_bits(hashes))
-                leads.append(leading(hashes, shipped.value, similarity).view(np.int64))
-            arrays = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(leads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "size", "parity", "leads"])
+                if nodes[-1] not in seen and len(hashes):
+                    seen.add(nodes[-1])
+                    parts.append((leading(hashes, common.value, similarity), nodes[-1], len(hashes)))
+                    load += len(parts[-1][0])
+                if load >= CHUNK_SHINGLES:
+                    yield block(parts)
+                    parts, seen, load = [], set(), 0
+            n = len(batch)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary())], schema=SKETCH)
+        if parts:
+            yield block(parts)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, node long, size long, parity binary, leads array<long>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "bucket int, data binary, doc_id long, node long, size long, parity binary")
 
 
 def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -270,47 +324,105 @@ def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
 
-def pair_buckets(pivots: int, limit: int, similarity: float):
-    """Scan rows (key, node, size, label) sorted by key; give (a, b, size, key): a pair to check, or b null for a member that
-    stays in its bucket.
+def packed_buckets(compared: int = COMPARED):
+    """From rows (bucket, data) sorted by bucket: columns (shingle, node, size, place, label) of shingles that several texts lead
+    with, sorted by the shingle. Of a large bucket a range of the shingles at a time is unpacked."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for _, rows in grouped(batches):
+            data = [r[1] for r in rows]
+            passes = max(1, -(-sum(map(len, data)) // (8 * compared)))
+            for p in range(passes):
+                parts = [unpack(d, np.uint64, np.int64, np.uint32, np.uint32) for d in data]
+                if passes > 1:
+                    parts = [[a[(x[0] & np.uint64(0xFFFFFFFF)) * np.uint64(passes) >> np.uint64(32) == np.uint64(p)] for a in x] for x in parts]
+                h, node, size, place = (np.concatenate([x[j] for x in parts]) for j in range(4))
+                order = np.argsort(h, kind="stable")
+                same = h[order][1:] == h[order][:-1]
+                order = order[np.r_[same, False] | np.r_[False, same]] if len(order) else order
+                order = order[np.lexsort((node[order], h[order]))]
+                h, node, size, place = h[order], node[order], size[order], place[order]
+                # the same text in blocks of several tasks
+                own = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])] if len(h) else np.zeros(0, bool)
+                if own.any():
+                    yield [h[own].view(np.int64), node[own], size[own].astype(np.int64), place[own].astype(np.int64), node[own]]
+
+    return run
+
 
-    Pairs of one label, or of sizes too far apart, need no check. Up to `limit` members are paired with each other. Of more,
-    `pivots` members, of the smallest labels first, are paired with all others and leave; the others stay if labels differ.
+def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
+    """Scan columns (key, node, size, place, label) sorted by key; give (a, b, size, place, key): a pair to check, or b null for a
+    member that stays in its bucket.
+
+    Pairs of one label need no check, nor do those that could not be similar if this is the first shingle that they share in
+    the common order: then all that they share lies at its place and after, in either set. (Pairs that share an earlier one
+    meet there.) Buckets with few pairs to check give them all. In others `pivots` members are paired with the rest: with
+    `pivots` members of each other label, as one link to a label is enough. A pivot leaves once no label has more; the others
+    stay if labels differ. Pivots are of the smallest labels, and of these the least by number, which is a hash: so crowded
+    buckets of the same texts have the same pivots, and a task reports their pairs once.
     """
 
-    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+    def fits(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+        shared = similarity / (1 + similarity) * (n + m) - 1e-6
+        return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (np.minimum(n - i, m - j) >= shared)
 
-    def out(a: np.ndarray, b: np.ndarray | None, size: np.ndarray | None = None, key: np.ndarray | None = None) -> pa.RecordBatch:
+    def out(a: np.ndarray, b: np.ndarray | None, *rest: np.ndarray) -> pa.RecordBatch:
         empty = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), *(empty if x is None else pa.array(x) for x in (b, size, key))], names=["a", "b", "size", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(a), empty if b is None else pa.array(b), *([pa.array(x) for x in rest] or [empty] * 3)], names=["a", "b", "size", "place", "key"])
+
+    def once(held: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(held)
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        both = both[order]
+        return both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, label in whole_buckets(batches):
+        held: list[np.ndarray] = []
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            if len(x):
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+
+        for key, node, size, place, label in buckets(batches):
             starts, ends = runs(key)
             small = np.repeat(ends - starts <= limit, ends - starts)
-            k, v, n, l = key[small], node[small], size[small], label[small]
+            k, v, n, i, l = key[small], node[small], size[small], place[small], label[small]
             for apart in range(1, limit):
                 same = k[:-apart] == k[apart:]
                 if not same.any():
                     break
-                i = np.flatnonzero(same & (l[:-apart] != l[apart:]) & fits(n[:-apart], n[apart:]))
-                if len(i):
-                    yield out(np.minimum(v[i], v[i + apart]), np.maximum(v[i], v[i + apart]))
+                at = np.flatnonzero(same & (l[:-apart] != l[apart:]) & fits(n[:-apart], i[:-apart], n[apart:], i[apart:]))
+                keep(v[at], v[at + apart])
             for s, e in zip(starts[ends - starts > limit], ends[ends - starts > limit], strict=True):
                 _, which, members = np.unique(label[s:e], return_inverse=True, return_counts=True)
-                order = np.lexsort((node[s:e], np.abs(size[s:e] - np.median(size[s:e])), which, members[which])) + s
-                v, n, l = node[order], size[order], label[order]
                 if len(members) == 1:
                     continue
-                done = min(pivots, len(v))
-                for p in range(done):
-                    ok = (l[p + 1 :] != l[p]) & fits(n[p + 1 :], n[p])
-                    other = v[p + 1 :][ok]
-                    if len(other):
-                        yield out(np.minimum(other, v[p]), np.maximum(other, v[p]))
-                if len(np.unique(l[done:])) > 1:
-                    yield out(v[done:], None, n[done:], key[s : s + len(v) - done])
+                order = np.lexsort((node[s:e], which, members[which])) + s
+                v, n, i, l = node[order], size[order], place[order], label[order]
+                if len(v) <= 32 * limit:
+                    x, y = np.nonzero(np.triu((l[:, None] != l) & fits(n[:, None], i[:, None], n, i), 1))
+                    if len(x) <= limit * len(v):
+                        keep(v[x], v[y])
+                        continue
+                stays = np.ones(len(v), bool)
+                for p in range(min(pivots, len(v))):
+                    at = p + 1 + np.flatnonzero((l[p + 1 :] != l[p]) & fits(n[p + 1 :], i[p + 1 :], n[p], i[p]))
+                    # labels lie side by side: so many of each
+                    begins, ends_ = runs(l[at])
+                    nth = np.arange(len(at)) - np.repeat(begins, ends_ - begins)
+                    stays[p] = bool((nth >= pivots).any())
+                    at = at[nth < pivots]
+                    keep(v[at], np.full(len(at), v[p]))
+                if len(np.unique(l[stays])) > 1:
+                    yield out(v[stays], None, n[stays], i[stays], np.full(int(stays.sum()), key[s]))
+            if sum(map(len, held)) >= HELD_PAIRS:
+                held = [once(held)]
+                if len(held[0]) >= HELD_PAIRS // 2:
+                    yield out(held[0][:, 0].copy(), held[0][:, 1].copy())
+                    held = []
+        if held:
+            both = once(held)
+            yield out(both[:, 0].copy(), both[:, 1].copy())
 
     return run
 
@@ -318,79 +430,128 @@ def pair_buckets(pivots: int, limit: int, similarity: float):
 def similar_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets of `shingle`-word shingles have that Jaccard similarity at least.
 
-    texts has (node, first_id, size, parity). Shingle sets are shipped only for pairs that parity bits do not rule out.
+    texts has (node, first_id, size, parity). Shingle sets, by 48 bits a shingle, are made and shipped only for pairs that
+    parity bits do not rule out; a fixed-size filter keeps the texts of all others where they are.
     """
+    spark = docs.sparkSession
 
     def possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("x", "y"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) if len(batch) else np.zeros(0, np.int64)
+            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], np.int64)
             total = batch.column("m").to_numpy() + batch.column("n").to_numpy()
             ok = apart <= total * ((1 - similarity) / (1 + similarity)) + 1e-6
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in text_bytes(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([text_node(t)], pa.int64()), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes()], pa.binary())], names=["node", "shingles"])
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
+            there = in_filter(spark_long_hash(id_array(batch.column(0))), wanted.value)
+            texts = text_bytes(batch.column(1).filter(pa.array(there, pa.bool_())))
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([text_node(t) for t in texts], pa.int64()), pa.array([pack_set(shingle_hashes(t, shingle)) for t in texts], pa.binary())], names=["node", "shingles"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, part, b, shingles) sorted by them: a's own set, of which b is null, then those of its partners."""
+        own: np.ndarray = np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            a, b = [], []
+            for x, y, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                hashes = unpack_set(data)
+                if y is None:
+                    own = hashes
+                    continue
+                both = len(np.intersect1d(own, hashes, assume_unique=True))
+                if both >= similarity * (len(own) + len(hashes) - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    n = partitions(spark)
     one = materialise(pairs.distinct().join(texts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("parity").alias("x")), "a"), "pairs")
     both = one.join(texts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("parity").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
     pairs = materialise(arrow_map(both, possible, "a long, b long"), "pairs")
     named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
-    ids = materialise(texts.join(named, "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
-    of_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").select("text")
-    of = materialise(arrow_map(of_ids, sets, "node long, shingles binary").dropDuplicates(["node"]).join(named, "node", "left_semi"), "shingles")
-    left = materialise(pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"), "pairs")
-    joined = left.join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return materialise(arrow_map(joined, compare, "a long, b long"), "similar")
-
-
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = PAIRED) -> DataFrame:
-    """(doc_id, group_id) of near duplicates; group_id is the smallest doc_id of the group.
+    wanted = spark.sparkContext.broadcast(bloom_filter(texts.join(named, "node", "left_semi").select(F.xxhash64("first_id")), FILTER_BITS))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    of = materialise(arrow_map(source, sets, "node long, shingles binary").join(named, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    # a text of many pairs is split: its own set goes once to each CHECKED of its partners, and a partner's set once a pair
+    parts = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHECKED).cast("int").alias("parts")), "parts")
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    partners = dealt.join(of.select(F.col("node").alias("b"), "shingles"), "b").select("a", "part", "b", "shingles")
+    own = parts.join(of.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = partners.union(own).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    found = materialise(arrow_map(rows, compare, "a long, b long"), "similar")
+    discard(one, pairs, named, of, parts)
+    return found
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = PAIRED, compared: int = COMPARED) -> DataFrame:
+    """(doc_id, group_id, node, root) of near duplicates; group_id is the smallest doc_id of the group, node a hash of the words,
+    root the group's smallest node, which tells groups of one smallest id apart.
 
     Two texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Such sets share one of their
     leading shingles in any common order, here the rarest first; so pairs of texts that share one are all there are to
     check. In a bucket over `bucket_limit` some members at a time are checked against all others, until every pair of
-    members is checked or connected by links that were. Texts of equal words are one. Null and empty texts are equal texts.
-    Rows of a null doc_id stay alone (group_id null); rows of one id are one document.
+    members is checked or connected by links that were.
+
+    Texts of equal words are one; null and empty texts have equal words, none. Texts may be of any length. Rows of one id and
+    different words are texts of their own; of rows equal in both there is one row here. Rows of a null doc_id stay alone
+    (group_id null, one row for all of one text). An empty table gives no rows; further columns are ignored.
     """
     known = docs.where("doc_id is not null")
     n = partitions(docs.sparkSession)
-    rows = materialise(sketches(known, shingle, similarity), "sketches")
-    texts = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value(F.struct("size", "parity", "leads")).alias("of")).select("node", "first_id", "of.*"), "texts")
-    left = texts.select(F.explode("leads").alias("key"), "node", "size", F.col("node").alias("label"))
-    links, roots, pivots = None, None, 1
+    sketched = materialise(sketches(known, shingle, similarity, even_keys(n, BUCKETS_EACH)), "sketches")
+    rows = sketched.where("bucket is null")
+    texts = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min("parity").alias("parity")), "texts")
+    blocks = sketched.where("bucket is not null").select("bucket", "data").repartition(n, "bucket").sortWithinPartitions("bucket")
+    pair = "a long, b long, size long, place long, key long"
+    found = materialise(arrow_map(blocks, pair_buckets(packed_buckets(compared), 1, bucket_limit, similarity), pair), "found")
+    links, pivots, written = None, 1, []
     while True:
-        dealt = left.repartition(n, "key").sortWithinPartitions("key")
-        found = materialise(arrow_map(dealt, pair_buckets(pivots, bucket_limit, similarity), "a long, b long, size long, key long"), "found")
         new = similar_pairs(known, texts, found.where("b is not null").select("a", "b"), shingle, similarity)
+        written.append(new)
         links = new if links is None else links.union(new)
         roots = materialise(components(links), "roots")
         stay = found.where("b is null")
         if stay.isEmpty():
             break
-        left = stay.select("key", F.col("a").alias("node"), "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("label"))
         pivots *= 16
-    named = materialise(rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "named")
-    smallest = materialise(named.groupBy("root").agg(F.min("doc_id").alias("group_id")), "smallest")
-    own = named.join(smallest, "root").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    return own.union(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long")))
+        left = stay.select("key", F.col("a").alias("node"), "size", "place").join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("label"))
+        old, found = found, materialise(arrow_map(left.repartition(n, "key").sortWithinPartitions("key"), pair_buckets(whole_buckets, pivots, bucket_limit, similarity), pair), "found")
+        discard(old, roots)
+    named = materialise(rows.select("doc_id", "node").distinct().join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "named")
+    discard(found, texts, sketched, roots, *written)
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    alone = docs.where("doc_id is null").select(*[F.lit(None).cast("long")] * 4).limit(1)
+    return named.join(smallest, "root").select("doc_id", "group_id", "node", "root").union(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document, that of the smallest id, of each group; rows of a null doc_id stay."""
-    groups = materialise(near_duplicate_groups(docs, **options), "groups")
-    gone = groups.where("doc_id <> group_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # of rows with one id, one stays
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """docs without all but one row of each group of near duplicates (see near_duplicate_groups): the row of the smallest
+    doc_id stays, of such rows that of the smallest node. Rows of a null doc_id stay. Null and empty texts are copies of each
+    other. Texts may be of any length; an empty table stays empty; columns of any name stay as they are.
+
+    A fixed-size filter lets most rows that stay pass where they are; only what goes, and what it takes for such, is moved.
+    """
+    known = docs.where("doc_id is not null")
+    node, gone_id, gone_node = (free_name(docs, x) for x in ("node", "gone_id", "gone_node"))
+    groups = materialise(near_duplicate_groups(docs, **options).where("doc_id is not null"), "groups")
+    stay = groups.where("doc_id = group_id").groupBy("root", F.col("group_id").alias("doc_id")).agg(F.min("node").alias("node"))
+    gone = materialise(groups.join(stay, ["doc_id", "node"], "left_anti").select("doc_id", "node"), "gone")
+    # rows equal in id and words: one of them stays
+    repeated = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    context = docs.sparkSession.sparkContext
+    looked_up = context.broadcast(bloom_filter(gone.select("doc_id").union(repeated).select(F.xxhash64("doc_id")), FILTER_BITS))
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def of_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = spark_long_hash(id_array(batch.column(id_at).cast(pa.int64())))
+        nodes = np.zeros(len(batch), np.int64)
+        texts = batch.column(text_at).cast(pa.string())
+        for k in np.flatnonzero(in_filter(h, looked_up.value)).tolist():
+            nodes[k] = text_node((texts[k].as_py() or "").encode())
+        return h, nodes
+
+    clean, seen = parted(known, of_rows, looked_up, node)
+    kept = seen.join(gone.toDF(gone_id, gone_node), (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left_anti").dropDuplicates(["doc_id", node])
+    discard(groups)
+    return docs.where("doc_id is null").union(clean).union(kept.select(docs.columns))
