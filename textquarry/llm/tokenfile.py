@@ -26,11 +26,13 @@ from .common import WordMemo, arrow_map, gather, id_array, kept_in_worker, null_
 MAGIC = b"TQDAC1\0\0"
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
-#: Distinct words whose ids a worker keeps; it starts anew beyond that.
-MEMO_WORDS = 500_000
+#: Bytes that a worker's memory of words and their ids may take; it starts anew beyond that.
+MEMO_BYTES = 192 << 20
 END_ID = 2
+#: Pieces that the library encodes in one call.
+ENCODED = 4096
 #: Text that a worker splits at a time; arrays over its words are several times as large.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -99,7 +101,7 @@ class WordEncoder:
     white space is dropped and no token spans it; so each distinct piece is encoded once and remembered. Pieces are fewer
     with A-Z lower-cased, as the library does, and cut between a letter and a comma or full stop, where tokens always end."""
 
-    def __init__(self, json_text: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, json_text: str, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,11 +109,21 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo = WordMemo(self.resolve, memo_words)
+        self.memo = WordMemo(self.resolve, memo_bytes)
 
     def resolve(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in got]
+        """Ids of different pieces: many at a time as one text with spaces between, cut where the tokens' places say."""
+        out: list[bytes] = []
+        for at in range(0, len(words), ENCODED):
+            pieces = [w.decode() for w in words[at : at + ENCODED]]
+            found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            places = np.array([a for a, _ in found.offsets], np.int64)
+            ends = np.searchsorted(places, starts + sizes) * self.kind.itemsize
+            raw = np.array(found.ids, self.kind).tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column in a row, and their number in each."""
@@ -143,8 +155,10 @@ def read_payload(data: bytes) -> tuple[np.ndarray, np.ndarray, Dac]:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode every text and write segments to the folder `path`, through Spark's writer, so that any store will do.
 
-    Documents lie in ascending doc_id order (null first; rows of one id in any order among themselves). A null or empty
-    text has the end id alone. An empty table gives an empty folder of segments.
+    Documents lie in ascending doc_id order, null first, rows of one id in the order of their texts' hashes; so a range of
+    rows may end within an id, however many rows that has. Rows equal in both are equal. A null or empty text has the end id
+    alone; texts may be of any length: a longer one than a segment is a segment of its own. An empty table gives an empty
+    folder of segments; further columns, of any name, are ignored.
     """
 
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -171,18 +185,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield segment()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = source.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    arrow_map(ordered, run, "part int, segment int, first_doc long, local_start long, n_tokens long, payload binary").write.parquet(path)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    arrow_map(ordered.select("doc_id", "text"), run, "part int, segment int, first_doc long, local_start long, n_tokens long, payload binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """One row a document, from the files: doc_id, start, n_tokens, ids_crc32; of an empty folder none."""
     segments = spark.read.schema("part int, segment int, first_doc long, local_start long, n_tokens long, payload binary").parquet(path)
     # a row a written partition: as few as there were tasks
     totals = segments.groupBy("part").agg(F.min("first_doc").alias("first_doc"), F.sum("n_tokens").alias("n"))
     before = Window.orderBy("first_doc", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = segments.join(offsets, "part").select((F.col("offset") + F.col("local_start")).alias("start"), "payload")
+    # a row a written partition on the right: the segments stay where they are
+    placed = segments.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("local_start")).alias("start"), "payload")
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -209,7 +225,9 @@ def token_range(spark: SparkSession, path: str, start: int, stop: int) -> list[i
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Write the files to the shared folder and read them back."""
+    """Write the files to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32, one row a document. Nulls,
+    empty and long texts, rows of one id or none, repeated rows, empty tables and further columns are as in
+    write_token_files: each row is a document of its own."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_path)
