@@ -514,7 +514,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
         stay = found.where("b is null")
         if stay.isEmpty():
             break
-        pivots *= 16
+        pivots *= 4
         left = stay.select("key", F.col("a").alias("node"), "size", "place").join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("label"))
         old, found = found, materialise(arrow_map(left.repartition(n, "key").sortWithinPartitions("key"), pair_buckets(whole_buckets, pivots, bucket_limit, similarity), pair), "found")
         discard(old, roots)

@@ -29,7 +29,7 @@ from .common import arrow_map, bloom_filter, even_keys, free_name, grouped, id_a
 WIDTH = 20
 BASE, CHECK_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 #: Words whose windows a task sorts at a time, and windows of a bucket that are compared at a time.
-CHUNK_WORDS, COMPARED = 1 << 19, 1 << 21
+CHUNK_WORDS, COMPARED = 1 << 18, 1 << 20
 #: Repeated windows that a task holds before it reports them.
 HELD_REPEATS = 1 << 21
 #: Bits of the filters of repeated ids and of documents with intervals: fixed, however large the corpus; fuller filters only
