@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from textquarry.llm import ann, bpe, decontam, langid, quality, sharding, simhash, substring, tokenfile, toxicity
+from textquarry.llm import ann, bpe, decontam, langid, pipeline, quality, sharding, simhash, substring, tokenfile, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 DATA = "/root/testdata/sf0.1"
@@ -176,6 +176,24 @@ def test_near_duplicate_groups_of_crowded_buckets(spark, options):
     assert {r.doc_id: r.group_id for r in got} == want
 
 
+def test_pipeline_drops_what_fingerprints_or_sets_link(spark):
+    """Pairs that only fingerprints link, that only sets link, and that both do, against brute force over both."""
+    rng = random.Random(14)
+    base = [sentence(rng, rng.randint(100, 200)) for _ in range(30)]
+    texts = dict(enumerate(base + [edited(rng, t, 1 + i % 6) for i, t in enumerate(base)]))
+    texts |= {100 + i: ("same " if i % 2 else "other ") * 40 + sentence(rng, 20) for i in range(6)}
+    texts[110] = edited(rng, texts[100], 1)
+    similar, _ = brute_similar_components(texts)
+    linked = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
+    assert set(linked.values()) - set(similar.values()) and set(similar.values()) - set(linked.values())
+    root = dict(similar)
+    for i in texts:
+        x, y = sorted((root[i], root[linked[i]]))
+        root = {k: x if r == y else r for k, r in root.items()}
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == set(root.values())
+
+
 def test_toxicity_learns_and_generalises():
     rng = random.Random(3)
     bad = ["idiot", "moron", "worthless"]

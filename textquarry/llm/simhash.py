@@ -258,13 +258,13 @@ def leading(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarit
     return hashes[np.lexsort((hashes, rank))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-SKETCH = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("parity", pa.binary())])
+SKETCH = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("parity", pa.binary()), ("fp", pa.int64())])
 
 
-def sketches(docs: DataFrame, shingle: int, similarity: float, keys: np.ndarray) -> DataFrame:
-    """Rows of two kinds: (doc_id, node, size, parity) of each text, its node, and the size and parity bits of its set of
-    shingles; and (bucket, data), packed (shingle, node, size, place) of leading shingles, place their rank in the order. A
-    task ships a text's leading shingles once."""
+def sketches(docs: DataFrame, shingle: int, similarity: float, keys: np.ndarray, printed: int | None = None) -> DataFrame:
+    """Rows of two kinds: (doc_id, node, size, parity, fp) of each text, its node, the size and parity bits of its set of
+    shingles, and its fingerprint of `printed`-word shingles (null if None); and (bucket, data), packed (shingle, node, size,
+    place) of leading shingles, place their rank in the order. A task ships a text's leading shingles once."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def block(parts: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
@@ -277,19 +277,20 @@ def sketches(docs: DataFrame, shingle: int, similarity: float, keys: np.ndarray)
         bounds = list(zip(*runs(bucket), strict=True))
         data = [pack(h=h[s:e], node=node[s:e], size=size[s:e], place=place[s:e]) for s, e in bounds]
         n = len(data)
-        return pa.RecordBatch.from_arrays([pa.array(bucket[[s for s, _ in bounds]], pa.int32()), pa.array(data, pa.binary()), *(pa.nulls(n, SKETCH.field(k).type) for k in range(2, 6))], schema=SKETCH)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[[s for s, _ in bounds]], pa.int32()), pa.array(data, pa.binary()), *(pa.nulls(n, SKETCH.field(k).type) for k in range(2, 7))], schema=SKETCH)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, int, int]] = []
         seen: set[int] = set()
         load = 0
         for batch in (part for whole in batches for part in text_slices(whole, 1)):
-            nodes, sizes, parities = [], [], []
+            nodes, sizes, parities, prints = [], [], [], []
             for t in text_bytes(batch.column(1)):
                 hashes = np.unique(shingle_hashes(t, shingle))
                 nodes.append(text_node(t))
                 sizes.append(len(hashes))
                 parities.append(parity_bits(hashes))
+                prints.append(0 if printed is None else fingerprint(shingle_hashes(t, printed)))
                 if nodes[-1] not in seen and len(hashes):
                     seen.add(nodes[-1])
                     parts.append((leading(hashes, common.value, similarity), nodes[-1], len(hashes)))
@@ -298,11 +299,11 @@ def sketches(docs: DataFrame, shingle: int, similarity: float, keys: np.ndarray)
                     yield block(parts)
                     parts, seen, load = [], set(), 0
             n = len(batch)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary())], schema=SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.nulls(n, pa.int64()) if printed is None else pa.array(np.array(prints, np.uint64).view(np.int64))], schema=SKETCH)
         if parts:
             yield block(parts)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "bucket int, data binary, doc_id long, node long, size long, parity binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "bucket int, data binary, doc_id long, node long, size long, parity binary, fp long")
 
 
 def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -484,7 +485,20 @@ def similar_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle:
     return found
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = PAIRED, compared: int = COMPARED) -> DataFrame:
+def fingerprint_links(texts: DataFrame, distance: int) -> DataFrame:
+    """(a, b): each text's node and the smallest node of those that its fingerprint reaches, over links of `distance` bits or
+    fewer, where that is another; texts has (node, fp)."""
+    nodes = materialise(texts.groupBy("fp").agg(F.min("node").alias("b")), "nodes")
+    roots = materialise(components(link_fingerprints(nodes, distance)), "roots")
+    joined = materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "b", F.coalesce("root", "fp").alias("root")), "nodes")
+    smallest = joined.groupBy("root").agg(F.min("b").alias("b"))
+    of = materialise(joined.select("fp", "root").join(smallest, "root").select("fp", "b"), "smallest")
+    links = materialise(texts.select(F.col("node").alias("a"), "fp").join(of, "fp").where("a <> b").select("a", "b"), "similar")
+    discard(nodes, roots, joined, of)
+    return links
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket_limit: int = PAIRED, compared: int = COMPARED, printed: int | None = None, distance: int = 3) -> DataFrame:
     """(doc_id, group_id, node, root) of near duplicates; group_id is the smallest doc_id of the group, node a hash of the words,
     root the group's smallest node, which tells groups of one smallest id apart.
 
@@ -493,19 +507,26 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     check. In a bucket over `bucket_limit` some members at a time are checked against all others, until every pair of
     members is checked or connected by links that were.
 
+    With `printed`, SimHash comes first: texts link as well if their fingerprints of `printed`-word shingles, repeats included,
+    differ in `distance` bits or fewer, as in near_duplicate_components. What these links connect is not compared again in
+    crowded buckets.
+
     Texts of equal words are one; null and empty texts have equal words, none. Texts may be of any length. Rows of one id and
     different words are texts of their own; of rows equal in both there is one row here. Rows of a null doc_id stay alone
     (group_id null, one row for all of one text). An empty table gives no rows; further columns are ignored.
     """
     known = docs.where("doc_id is not null")
     n = partitions(docs.sparkSession)
-    sketched = materialise(sketches(known, shingle, similarity, even_keys(n, BUCKETS_EACH)), "sketches")
+    sketched = materialise(sketches(known, shingle, similarity, even_keys(n, BUCKETS_EACH), printed), "sketches")
     rows = sketched.where("bucket is null")
-    texts = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min("parity").alias("parity")), "texts")
+    texts = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min("parity").alias("parity"), F.min("fp").alias("fp")), "texts")
     blocks = sketched.where("bucket is not null").select("bucket", "data").repartition(n, "bucket").sortWithinPartitions("bucket")
     pair = "a long, b long, size long, place long, key long"
     found = materialise(arrow_map(blocks, pair_buckets(packed_buckets(compared), 1, bucket_limit, similarity), pair), "found")
     links, pivots, written = None, 1, []
+    if printed is not None:
+        links = fingerprint_links(texts.select("node", "fp"), distance)
+        written.append(links)
     while True:
         new = similar_pairs(known, texts, found.where("b is not null").select("a", "b"), shingle, similarity)
         written.append(new)
@@ -525,16 +546,17 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     return named.join(smallest, "root").select("doc_id", "group_id", "node", "root").union(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one row of each group of near duplicates (see near_duplicate_groups): the row of the smallest
-    doc_id stays, of such rows that of the smallest node. Rows of a null doc_id stay. Null and empty texts are copies of each
-    other. Texts may be of any length; an empty table stays empty; columns of any name stay as they are.
+def drop_near_duplicates(docs: DataFrame, printed: int | None = 3, **options) -> DataFrame:
+    """docs without all but one row of each group of near duplicates (see near_duplicate_groups), by SimHash fingerprints and,
+    for what these do not reach, by the similarity of sets: the row of the smallest doc_id stays, of such rows that of the
+    smallest node. Rows of a null doc_id stay. Null and empty texts are copies of each other. Texts may be of any length; an
+    empty table stays empty; columns of any name stay as they are.
 
     A fixed-size filter lets most rows that stay pass where they are; only what goes, and what it takes for such, is moved.
     """
     known = docs.where("doc_id is not null")
     node, gone_id, gone_node = (free_name(docs, x) for x in ("node", "gone_id", "gone_node"))
-    groups = materialise(near_duplicate_groups(docs, **options).where("doc_id is not null"), "groups")
+    groups = materialise(near_duplicate_groups(docs, printed=printed, **options).where("doc_id is not null"), "groups")
     stay = groups.where("doc_id = group_id").groupBy("root", F.col("group_id").alias("doc_id")).agg(F.min("node").alias("node"))
     gone = materialise(groups.join(stay, ["doc_id", "node"], "left_anti").select("doc_id", "node"), "gone")
     # rows equal in id and words: one of them stays
