@@ -128,6 +128,35 @@ def test_an_unrelated_document_of_a_smaller_id_loses_no_link(spark):
         assert groups[3] == 2 and all(g == i for i, g in groups.items() if i != 3)
 
 
+def test_pairs_to_check_do_not_grow_with_the_square_of_a_crowded_bucket(spark, monkeypatch):
+    """Texts that share a passage, two of them near copies: few pairs are given to be checked, and these two are linked."""
+    rng = random.Random(25)
+    phrase, checked, similar_pairs = sentence(rng, 85), [], simhash.similar_pairs
+    texts = {i: f"{phrase} {sentence(rng, 35)}" for i in range(150)}
+    texts[150] = texts[149] + " more"
+
+    def counted(docs, known, pairs, *rest):
+        checked.append(pairs.distinct().count())
+        return similar_pairs(docs, known, pairs, *rest)
+
+    monkeypatch.setattr(simhash, "similar_pairs", counted)
+    monkeypatch.setattr(simhash, "common_shingles", lambda docs, shingle: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    got = simhash.near_duplicate_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.group_id for r in got.collect()} == {i: min(i, 149) for i in texts}
+    assert 150 <= sum(checked) < 8 * len(texts)
+
+
+def test_parity_bits_rule_out_no_pair_of_the_similarity():
+    rng = np.random.default_rng(26)
+    for n in (3, 100, 127, 129, 600, 3000, 40000):
+        own = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        others = [np.unique(np.r_[own[: rng.integers(0, len(own) + 1)], rng.integers(0, 1 << 63, rng.integers(0, n), np.uint64)]) for _ in range(40)]
+        bits = simhash.Parities([simhash.carried_parity(simhash.parity_bits(x)) for x in (own, *others)])
+        apart = bits.apart(0, np.arange(1, 41))
+        assert all(a <= len(np.setxor1d(own, x)) for a, x in zip(apart, others, strict=True))
+        assert bits.bits.shape[1] * 8 <= simhash.CARRIED
+
+
 def test_rows_of_one_id_with_different_texts_stay(spark):
     rng = random.Random(24)
     a, b = sentence(rng, 80), sentence(rng, 80)

@@ -32,6 +32,8 @@ PAIRED = 8
 PARITY_BITS, CHECKED = 256, 256
 #: Shingles that a task sorts at a time, and of a bucket that are compared at a time; buckets of hashes for each partition.
 CHUNK_SHINGLES, COMPARED, BUCKETS_EACH = 1 << 19, 1 << 21, 1
+#: Parity bits, in bytes, that a member takes along into a crowded bucket, and members that are all compared with each other.
+CARRIED, SQUARE = 256, 4096
 #: Pairs that a task holds, to drop those that it has found before, until it reports them.
 HELD_PAIRS = 1 << 19
 #: Bits of the filters of texts that are looked at again; fixed, however many: fuller ones only pass more texts.
@@ -219,6 +221,32 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
+def carried_parity(parity: bytes) -> bytes:
+    """Parity bits folded to CARRIED bytes at most: still no more of them differ than sets do in members."""
+    bits = np.frombuffer(parity, np.uint8)
+    return np.bitwise_xor.reduce(bits.reshape(-1, min(len(bits), CARRIED)), axis=0).tobytes()
+
+
+class Parities:
+    """Carried parity bits of a bucket's members, compared many at a time."""
+
+    def __init__(self, data: list[bytes]):
+        self.width = np.array([len(x) >> 3 for x in data], np.int64)
+        widest = int(self.width.max())
+        self.bits = np.frombuffer(b"".join(x.ljust(widest << 3, b"\0") for x in data), np.uint64).reshape(-1, widest)
+
+    def apart(self, p: int, at: np.ndarray) -> np.ndarray:
+        """How many bits of members `at` differ from those of member p; of two lengths the longer is folded."""
+        out = np.zeros(len(at), np.int64)
+        for w in np.unique(self.width[at]).tolist():
+            pick = np.flatnonzero(self.width[at] == w)
+            least = min(w, int(self.width[p]))
+            own = np.bitwise_xor.reduce(self.bits[p, : self.width[p]].reshape(-1, least), axis=0)
+            others = np.bitwise_xor.reduce(self.bits[at[pick], :w].reshape(len(pick), -1, least), axis=1)
+            out[pick] = np.bitwise_count(others ^ own).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def pack_set(hashes: np.ndarray) -> bytes:
     """A set of shingles by the leading 48 bits of their hashes, as packed steps from one to the next."""
     return pack(step=np.diff(np.unique(hashes >> np.uint64(16)), prepend=np.uint64(0)))
@@ -307,12 +335,12 @@ def sketches(docs: DataFrame, shingle: int, similarity: float, keys: np.ndarray,
 
 
 def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of longs of rows sorted by the first, cut only where that changes."""
+    """Columns, of longs or else of objects, of rows sorted by the first, cut only where that changes."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not len(batch):
             continue
-        columns = [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=pa.types.is_int64(c.type)) for c in batch.columns]
         cut = int(np.searchsorted(columns[0], columns[0][-1]))
         if held and (cut or held[-1][0][-1] != columns[0][0]):
             held.append([c[:cut] for c in columns])
@@ -352,21 +380,42 @@ def packed_buckets(compared: int = COMPARED):
 
 
 def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
-    """Scan columns (key, node, size, place, label) sorted by key; give (a, b, size, place, key): a pair to check, or b null for a
-    member that stays in its bucket.
+    """Scan columns (key, node, size, place, label) and perhaps parity bits, sorted by key; give (a, b, size, place, key): a pair
+    to check, or b null for a member that stays in its bucket.
 
     Pairs of one label need no check, nor do those that could not be similar if this is the first shingle that they share in
     the common order: then all that they share lies at its place and after, in either set. (Pairs that share an earlier one
-    meet there.) Buckets with few pairs to check give them all. In others `pivots` members are paired with the rest: with
-    `pivots` members of each other label, as one link to a label is enough. A pivot leaves once no label has more; the others
-    stay if labels differ. Pivots are of the smallest labels, and of these the least by number, which is a hash: so crowded
-    buckets of the same texts have the same pivots, and a task reports their pairs once.
+    meet there.) Where members carry parity bits, pairs that these rule out are not given either. Buckets with few pairs to
+    check give them all. In others `pivots` members are paired with the rest: with `pivots` members of each other label, as
+    one link to a label is enough. A pivot leaves once no label has more; the others stay if labels differ. Pivots are of the
+    smallest labels, and of these the least by number, which is a hash: so crowded buckets of the same texts have the same
+    pivots, and a task reports their pairs once.
     """
 
     def fits(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
         shared = similarity / (1 + similarity) * (n + m) - 1e-6
         return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (np.minimum(n - i, m - j) >= shared)
 
+    def near(bits: Parities | None, n: np.ndarray, p: int, at: np.ndarray) -> np.ndarray:
+        return at if bits is None or not len(at) else at[bits.apart(p, at) <= (n[at] + n[p]) * ((1 - similarity) / (1 + similarity)) + 1e-6]
+
+    def few(bits: Parities | None, v: np.ndarray, n: np.ndarray, i: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Every pair of members that is to be checked, or None if there are too many."""
+        if len(v) > (32 * limit if bits is None else SQUARE):
+            return None
+        if bits is None:
+            x, y = np.nonzero(np.triu((l[:, None] != l) & fits(n[:, None], i[:, None], n, i), 1))
+            return (v[x], v[y]) if len(x) <= limit * len(v) else None
+        found, total = [np.zeros(0, np.int64)], 0
+        for p in range(len(v) - 1):
+            rest = slice(p + 1, None)
+            at = near(bits, n, p, p + 1 + np.flatnonzero((l[rest] != l[p]) & fits(n[rest], i[rest], n[p], i[p])))
+            found.append(at)
+            total += len(at)
+            if total > limit * len(v):
+                return None
+        return v[np.concatenate(found)], v[np.repeat(np.arange(len(found) - 1), [len(at) for at in found[1:]])]
+
     def out(a: np.ndarray, b: np.ndarray | None, *rest: np.ndarray) -> pa.RecordBatch:
         empty = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a), empty if b is None else pa.array(b), *([pa.array(x) for x in rest] or [empty] * 3)], names=["a", "b", "size", "place", "key"])
@@ -384,7 +433,7 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
             if len(x):
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
 
-        for key, node, size, place, label in buckets(batches):
+        for key, node, size, place, label, *parity in buckets(batches):
             starts, ends = runs(key)
             small = np.repeat(ends - starts <= limit, ends - starts)
             k, v, n, i, l = key[small], node[small], size[small], place[small], label[small]
@@ -400,14 +449,14 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
                     continue
                 order = np.lexsort((node[s:e], which, members[which])) + s
                 v, n, i, l = node[order], size[order], place[order], label[order]
-                if len(v) <= 32 * limit:
-                    x, y = np.nonzero(np.triu((l[:, None] != l) & fits(n[:, None], i[:, None], n, i), 1))
-                    if len(x) <= limit * len(v):
-                        keep(v[x], v[y])
-                        continue
+                bits = Parities(parity[0][order].tolist()) if parity else None
+                pairs = few(bits, v, n, i, l)
+                if pairs is not None:
+                    keep(*pairs)
+                    continue
                 stays = np.ones(len(v), bool)
                 for p in range(min(pivots, len(v))):
-                    at = p + 1 + np.flatnonzero((l[p + 1 :] != l[p]) & fits(n[p + 1 :], i[p + 1 :], n[p], i[p]))
+                    at = near(bits, n, p, p + 1 + np.flatnonzero((l[p + 1 :] != l[p]) & fits(n[p + 1 :], i[p + 1 :], n[p], i[p])))
                     # labels lie side by side: so many of each
                     begins, ends_ = runs(l[at])
                     nth = np.arange(len(at)) - np.repeat(begins, ends_ - begins)
@@ -505,7 +554,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     Two texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Such sets share one of their
     leading shingles in any common order, here the rarest first; so pairs of texts that share one are all there are to
     check. In a bucket over `bucket_limit` some members at a time are checked against all others, until every pair of
-    members is checked or connected by links that were.
+    members is checked, ruled out by parity bits or connected by links that were.
 
     With `printed`, SimHash comes first: texts link as well if their fingerprints of `printed`-word shingles, repeats included,
     differ in `distance` bits or fewer, as in near_duplicate_components. What these links connect is not compared again in
@@ -515,6 +564,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     different words are texts of their own; of rows equal in both there is one row here. Rows of a null doc_id stay alone
     (group_id null, one row for all of one text). An empty table gives no rows; further columns are ignored.
     """
+
+    def carry(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(carried_parity, batch.column(1).to_pylist()), pa.binary())], names=["node", "parity"])
+
     known = docs.where("doc_id is not null")
     n = partitions(docs.sparkSession)
     sketched = materialise(sketches(known, shingle, similarity, even_keys(n, BUCKETS_EACH), printed), "sketches")
@@ -523,7 +577,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     blocks = sketched.where("bucket is not null").select("bucket", "data").repartition(n, "bucket").sortWithinPartitions("bucket")
     pair = "a long, b long, size long, place long, key long"
     found = materialise(arrow_map(blocks, pair_buckets(packed_buckets(compared), 1, bucket_limit, similarity), pair), "found")
-    links, pivots, written = None, 1, []
+    links, carried, pivots, written = None, None, 1, []
     if printed is not None:
         links = fingerprint_links(texts.select("node", "fp"), distance)
         written.append(links)
@@ -535,8 +589,12 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
         stay = found.where("b is null")
         if stay.isEmpty():
             break
+        if carried is None:
+            crowded = texts.join(stay.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "parity")
+            carried = materialise(arrow_map(crowded, carry, "node long, parity binary"), "carried")
+            written.append(carried)
         pivots *= 4
-        left = stay.select("key", F.col("a").alias("node"), "size", "place").join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("label"))
+        left = stay.select("key", F.col("a").alias("node"), "size", "place").join(carried, "node").join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("label"), "parity")
         old, found = found, materialise(arrow_map(left.repartition(n, "key").sortWithinPartitions("key"), pair_buckets(whole_buckets, pivots, bucket_limit, similarity), pair), "found")
         discard(old, roots)
     named = materialise(rows.select("doc_id", "node").distinct().join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "named")
