@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -314,6 +315,17 @@ def test_frequent_words_of_several_ids_are_in_the_automaton(spark):
     assert b" zqxvorp" not in encoder.memo.known  # answered by the automaton, not remembered
 
 
+def test_frequent_words_are_counted_over_all_documents(spark):
+    """Words met three times in all, in documents far apart, also where tasks report their counts in many parts."""
+    texts = [f"{k % 10_000} {k % 50}" for k in range(30_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counted = Counter(w for t in texts for w in bpe.WordSplitter()(t))
+    ranked = sorted(counted, key=lambda w: (-counted[w], w))
+    assert min(counted.values()) == 3 and len(ranked) > 10_000
+    for most in (bpe.FREQUENT_WORDS, 70):
+        assert bpe.frequent_words(docs, most=most) == [w.encode() for w in ranked[:most]]
+
+
 def test_memory_of_words_is_bounded():
     memo = common.WordMemo(lambda v: [w * 2 for w in v], 100_000)
     for k in range(50):

@@ -30,9 +30,9 @@ from .common import WordMemo, arrow_map, kept_in_worker, text_slices, text_strin
 
 #: Bytes that a worker's memory of merged words may take; it starts anew beyond that.
 MEMO_BYTES = 48 << 20
-#: The lexicon's frequent words are the commonest of about so many documents, so many at most: bounds that results do not
-#: depend on, as all other words are merged.
-SAMPLE_DOCUMENTS, FREQUENT_WORDS = 10_000, 30_000
+#: The lexicon's frequent words are the commonest of all documents, so many at most: a bound that results do not depend on, as
+#: all other words are merged. A task reports its counts when it has so many times as many different words.
+FREQUENT_WORDS, HELD_WORDS = 30_000, 4
 #: Characters of texts that are encoded at a time.
 GROUP = 1 << 20
 #: Words of more symbols are merged with a heap.
@@ -310,24 +310,30 @@ def lexicon_words(merges: Merges, extra: Iterable[bytes] = ()) -> dict[bytes, li
     return out
 
 
-def frequent_words(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = FREQUENT_WORDS) -> list[bytes]:
-    """The commonest words of about `documents` documents, chosen by a hash of their id: those met three times and more, `most`
-    of them; a task counts about as many. Repeated or null ids may make them fewer or more documents; the words stay bounded."""
+def frequent_words(docs: DataFrame, documents: int | None = None, most: int = FREQUENT_WORDS) -> list[bytes]:
+    """The commonest words of docs, counted over all texts: those met three times and more, `most` of them, ties by the word.
+    With `documents`, of about so many documents only, chosen by a hash of their id. Tasks hold few words at a time and report
+    their counts whenever they have more, so none is lost."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, found = WordSplitter(), Counter()
+
+        def counts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
         for batch in batches:
             for t in text_strings(batch.column(0)):
-                found.update(w for w in split(t) if len(w) <= LONG_WORD)
-                if len(found) > 4 * most:  # what was met once goes, so a task's words stay bounded
-                    found = Counter({w: n for w, n in found.items() if n > 1})
-        common = found.most_common(most)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in common], pa.string()), pa.array([n for _, n in common], pa.int64())], names=["word", "n"])
-
-    scale = 1 << 40
-    share = min(scale, scale * documents // max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).select(F.col("text").cast("string").alias("text"))
-    counted = arrow_map(sample, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
+                found.update([w for w in split(t) if len(w) <= LONG_WORD])
+                if len(found) > HELD_WORDS * most:
+                    yield counts()
+                    found.clear()
+        yield counts()
+
+    texts = docs
+    if documents is not None:
+        scale = 1 << 40
+        texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < min(scale, scale * documents // max(1, docs.count())))
+    counted = arrow_map(texts.select(F.col("text").cast("string").alias("text")), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
     return [r.word.encode() for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
