@@ -147,6 +147,38 @@ def test_pairs_to_check_do_not_grow_with_the_square_of_a_crowded_bucket(spark, m
     assert 150 <= sum(checked) < 8 * len(texts)
 
 
+def test_a_crowded_bucket_gives_few_pairs_a_label_and_loses_none():
+    """Near copies of one text in one bucket, some alone and most of one label: a scan gives a number of pairs that grows with the
+    labels, and scans of more pairs each give every pair that is similar, unless it is connected."""
+    rng = np.random.default_rng(27)
+    base, sets = rng.integers(0, 1 << 63, 150, np.uint64), []
+    for _ in range(300):
+        own = base.copy()
+        edits = rng.choice(150, rng.integers(3, 18), replace=False)
+        own[edits] = rng.integers(0, 1 << 63, len(edits), np.uint64)
+        sets.append(np.unique(own))
+    n = len(sets)
+    similar = {(a, b) for a in range(n) for b in range(a + 1, n) if len(both := np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(both))}
+    parities = [simhash.carried_parity(simhash.parity_bits(x)) for x in sets]
+    label, members, pivots, given = np.minimum(np.arange(n), 12), np.arange(n), 4, []
+    assert len(similar) > 8 * n
+    while len(members):
+        columns = [np.zeros(len(members), np.int64), members, np.array([len(sets[m]) for m in members]), np.zeros(len(members), np.int64), label[members], np.array([parities[m] for m in members], object)]
+        scan = simhash.pair_buckets(lambda _, c=columns: iter([c]), pivots, simhash.PAIRED, 0.8)
+        rows = [r for batch in scan([]) for r in batch.to_pylist()]
+        pairs = [(r["a"], r["b"]) for r in rows if r["b"] is not None]
+        assert len(pairs) <= pivots * len(set(label[members].tolist()))
+        given.append(len(pairs))
+        for a, b in similar.intersection(pairs):
+            label[label == label[b]] = label[a]
+        members, pivots = np.array([r["a"] for r in rows if r["b"] is None], np.int64), pivots * 4
+    assert all(label[a] == label[b] for a, b in similar) and sum(given) < n
+    want = np.minimum(np.arange(n), 12)
+    for a, b in similar:
+        want[want == want[b]] = want[a]
+    assert len({*zip(label.tolist(), want.tolist(), strict=True)}) == len(set(want.tolist())) == len(set(label.tolist()))
+
+
 def test_parity_bits_rule_out_no_pair_of_the_similarity():
     rng = np.random.default_rng(26)
     for n in (3, 100, 127, 129, 600, 3000, 40000):

@@ -34,6 +34,8 @@ PARITY_BITS, CHECKED = 256, 256
 CHUNK_SHINGLES, COMPARED, BUCKETS_EACH = 1 << 19, 1 << 21, 1
 #: Parity bits, in bytes, that a member takes along into a crowded bucket, and members that are all compared with each other.
 CARRIED, SQUARE = 256, 4096
+#: Pairs of a crowded bucket that are held until those that are not the closest of a label go.
+WEIGHED = 1 << 20
 #: Pairs that a task holds, to drop those that it has found before, until it reports them.
 HELD_PAIRS = 1 << 19
 #: Bits of the filters of texts that are looked at again; fixed, however many: fuller ones only pass more texts.
@@ -379,42 +381,75 @@ def packed_buckets(compared: int = COMPARED):
     return run
 
 
+def closest(l: np.ndarray, x: np.ndarray, y: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs (x, y) are among the `most` of least `far` that their member x's label has, or their member y's."""
+    which, labels = np.tile(np.arange(len(x)), 2), np.concatenate([l[x], l[y]])
+    order = np.lexsort((which, np.tile(far, 2), labels))
+    starts, ends = runs(labels[order])
+    nth = np.arange(len(order)) - np.repeat(starts, ends - starts)
+    out = np.zeros(len(x), bool)
+    out[which[order[nth < most]]] = True
+    return out
+
+
 def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
     """Scan columns (key, node, size, place, label) and perhaps parity bits, sorted by key; give (a, b, size, place, key): a pair
     to check, or b null for a member that stays in its bucket.
 
     Pairs of one label need no check, nor do those that could not be similar if this is the first shingle that they share in
     the common order: then all that they share lies at its place and after, in either set. (Pairs that share an earlier one
-    meet there.) Where members carry parity bits, pairs that these rule out are not given either. Buckets with few pairs to
-    check give them all. In others `pivots` members are paired with the rest: with `pivots` members of each other label, as
-    one link to a label is enough. A pivot leaves once no label has more; the others stay if labels differ. Pivots are of the
-    smallest labels, and of these the least by number, which is a hash: so crowded buckets of the same texts have the same
-    pivots, and a task reports their pairs once.
+    meet there.) Where members carry parity bits, pairs that these rule out are not given either, and of a bucket of SQUARE
+    members at most each label gives the `pivots` pairs with another label whose parity bits differ least: the likeliest links,
+    and as one link connects two labels, a number that grows with the labels, not with the pairs of their members. Members
+    stay that have a pair which was not given. Without parity bits, buckets with few pairs to check give them all. In others
+    `pivots` members are paired with the rest: with `pivots` members of each other label. A pivot leaves once no label has
+    more; the others stay if labels differ. Pivots are of the smallest labels, and of these the least by number, which is a
+    hash: so crowded buckets of the same texts have the same pivots, and a task reports their pairs once.
     """
 
     def fits(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
         shared = similarity / (1 + similarity) * (n + m) - 1e-6
         return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (np.minimum(n - i, m - j) >= shared)
 
-    def near(bits: Parities | None, n: np.ndarray, p: int, at: np.ndarray) -> np.ndarray:
-        return at if bits is None or not len(at) else at[bits.apart(p, at) <= (n[at] + n[p]) * ((1 - similarity) / (1 + similarity)) + 1e-6]
+    def near(bits: Parities | None, n: np.ndarray, p: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of members `at` that the parity bits let be similar to member p, and the share of them that differs."""
+        if bits is None or not len(at):
+            return at, np.zeros(len(at))
+        far = bits.apart(p, at) / (n[at] + n[p])
+        ok = far <= (1 - similarity) / (1 + similarity) + 1e-9
+        return at[ok], far[ok]
 
-    def few(bits: Parities | None, v: np.ndarray, n: np.ndarray, i: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    def few(v: np.ndarray, n: np.ndarray, i: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Every pair of members that is to be checked, or None if there are too many."""
-        if len(v) > (32 * limit if bits is None else SQUARE):
+        if len(v) > 32 * limit:
             return None
-        if bits is None:
-            x, y = np.nonzero(np.triu((l[:, None] != l) & fits(n[:, None], i[:, None], n, i), 1))
-            return (v[x], v[y]) if len(x) <= limit * len(v) else None
-        found, total = [np.zeros(0, np.int64)], 0
-        for p in range(len(v) - 1):
+        x, y = np.nonzero(np.triu((l[:, None] != l) & fits(n[:, None], i[:, None], n, i), 1))
+        return (v[x], v[y]) if len(x) <= limit * len(v) else None
+
+    def likeliest(bits: Parities, n: np.ndarray, i: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (x, y) of members, the closest of each label's, and which members have others that are to be checked. Members lie
+        label by label."""
+        stays = np.zeros(len(l), bool)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        load, most = 0, WEIGHED
+
+        def chosen() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x, y, far = (np.concatenate(part) for part in zip(*held, strict=True))
+            pick = closest(l, x, y, far, pivots)
+            stays[x[~pick]] = stays[y[~pick]] = True
+            return x[pick], y[pick], far[pick]
+
+        for p in range(int(np.count_nonzero(l != l[-1]))):
             rest = slice(p + 1, None)
-            at = near(bits, n, p, p + 1 + np.flatnonzero((l[rest] != l[p]) & fits(n[rest], i[rest], n[p], i[p])))
-            found.append(at)
-            total += len(at)
-            if total > limit * len(v):
-                return None
-        return v[np.concatenate(found)], v[np.repeat(np.arange(len(found) - 1), [len(at) for at in found[1:]])]
+            at, far = near(bits, n, p, p + 1 + np.flatnonzero((l[rest] != l[p]) & fits(n[rest], i[rest], n[p], i[p])))
+            held.append((np.full(len(at), p), at, far))
+            load += len(at)
+            if load >= most:
+                held = [chosen()]
+                load = len(held[0][0])
+                most = max(WEIGHED, 2 * load)
+        x, y, _ = chosen()
+        return x, y, stays
 
     def out(a: np.ndarray, b: np.ndarray | None, *rest: np.ndarray) -> pa.RecordBatch:
         empty = pa.nulls(len(a), pa.int64())
@@ -450,13 +485,19 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
                 order = np.lexsort((node[s:e], which, members[which])) + s
                 v, n, i, l = node[order], size[order], place[order], label[order]
                 bits = Parities(parity[0][order].tolist()) if parity else None
-                pairs = few(bits, v, n, i, l)
+                if bits is not None and len(v) <= SQUARE:
+                    x, y, stays = likeliest(bits, n, i, l)
+                    keep(v[x], v[y])
+                    if stays.any():
+                        yield out(v[stays], None, n[stays], i[stays], np.full(int(stays.sum()), key[s]))
+                    continue
+                pairs = few(v, n, i, l) if bits is None else None
                 if pairs is not None:
                     keep(*pairs)
                     continue
                 stays = np.ones(len(v), bool)
                 for p in range(min(pivots, len(v))):
-                    at = near(bits, n, p, p + 1 + np.flatnonzero((l[p + 1 :] != l[p]) & fits(n[p + 1 :], i[p + 1 :], n[p], i[p])))
+                    at, _ = near(bits, n, p, p + 1 + np.flatnonzero((l[p + 1 :] != l[p]) & fits(n[p + 1 :], i[p + 1 :], n[p], i[p])))
                     # labels lie side by side: so many of each
                     begins, ends_ = runs(l[at])
                     nth = np.arange(len(at)) - np.repeat(begins, ends_ - begins)
@@ -480,8 +521,9 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
 def similar_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets of `shingle`-word shingles have that Jaccard similarity at least.
 
-    texts has (node, first_id, size, parity). Shingle sets, by 48 bits a shingle, are made and shipped only for pairs that
-    parity bits do not rule out; a fixed-size filter keeps the texts of all others where they are.
+    texts has (node, first_id, size, parity, label); pairs of one label are left out, as they need no check. Shingle sets, by 48
+    bits a shingle, are made and shipped only for pairs that parity bits do not rule out; a fixed-size filter keeps the texts of
+    all others where they are.
     """
     spark = docs.sparkSession
 
@@ -516,8 +558,8 @@ def similar_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     n = partitions(spark)
-    one = materialise(pairs.distinct().join(texts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("parity").alias("x")), "a"), "pairs")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("parity").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+    one = materialise(pairs.distinct().join(texts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("parity").alias("x"), F.col("label").alias("l")), "a"), "pairs")
+    both = one.join(texts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("parity").alias("y"), F.col("label").alias("k")), "b").where("k <> l").select("a", "b", "m", "n", "x", "y")
     pairs = materialise(arrow_map(both, possible, "a long, b long"), "pairs")
     named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
     wanted = spark.sparkContext.broadcast(bloom_filter(texts.join(named, "node", "left_semi").select(F.xxhash64("first_id")), FILTER_BITS))
@@ -577,15 +619,19 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     blocks = sketched.where("bucket is not null").select("bucket", "data").repartition(n, "bucket").sortWithinPartitions("bucket")
     pair = "a long, b long, size long, place long, key long"
     found = materialise(arrow_map(blocks, pair_buckets(packed_buckets(compared), 1, bucket_limit, similarity), pair), "found")
-    links, carried, pivots, written = None, None, 1, []
-    if printed is not None:
-        links = fingerprint_links(texts.select("node", "fp"), distance)
-        written.append(links)
+    roots, carried, pivots, written = None, None, 1, [sketched, texts]
+    if printed is None:
+        texts = texts.withColumn("label", F.col("node"))
+    else:
+        printed_alike = fingerprint_links(texts.select("node", "fp"), distance)
+        roots = printed_alike.toDF("node", "root")
+        texts = materialise(texts.drop("fp").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "texts")
+        written += [printed_alike, texts]
     while True:
         new = similar_pairs(known, texts, found.where("b is not null").select("a", "b"), shingle, similarity)
-        written.append(new)
-        links = new if links is None else links.union(new)
-        roots = materialise(components(links), "roots")
+        # what is connected already is a link a text, by however many it was found
+        roots = materialise(components(new if roots is None else new.union(roots.select("node", "root"))), "roots")
+        written += [new, roots]
         stay = found.where("b is null")
         if stay.isEmpty():
             break
@@ -596,9 +642,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
         pivots *= 4
         left = stay.select("key", F.col("a").alias("node"), "size", "place").join(carried, "node").join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("label"), "parity")
         old, found = found, materialise(arrow_map(left.repartition(n, "key").sortWithinPartitions("key"), pair_buckets(whole_buckets, pivots, bucket_limit, similarity), pair), "found")
-        discard(old, roots)
+        discard(old)
     named = materialise(rows.select("doc_id", "node").distinct().join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "named")
-    discard(found, texts, sketched, roots, *written)
+    discard(found, *written)
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     alone = docs.where("doc_id is null").select(*[F.lit(None).cast("long")] * 4).limit(1)
     return named.join(smallest, "root").select("doc_id", "group_id", "node", "root").union(alone)
