@@ -147,9 +147,11 @@ def test_pairs_to_check_do_not_grow_with_the_square_of_a_crowded_bucket(spark, m
     assert 150 <= sum(checked) < 8 * len(texts)
 
 
-def test_a_crowded_bucket_gives_few_pairs_a_label_and_loses_none():
+@pytest.mark.parametrize("square", [simhash.SQUARE, 64])
+def test_a_crowded_bucket_gives_few_pairs_a_label_and_loses_none(monkeypatch, square):
     """Near copies of one text in one bucket, some alone and most of one label: a scan gives a number of pairs that grows with the
     labels, and scans of more pairs each give every pair that is similar, unless it is connected."""
+    monkeypatch.setattr(simhash, "SQUARE", square)
     rng = np.random.default_rng(27)
     base, sets = rng.integers(0, 1 << 63, 150, np.uint64), []
     for _ in range(300):

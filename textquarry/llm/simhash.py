@@ -32,7 +32,7 @@ PAIRED = 8
 PARITY_BITS, CHECKED = 256, 256
 #: Shingles that a task sorts at a time, and of a bucket that are compared at a time; buckets of hashes for each partition.
 CHUNK_SHINGLES, COMPARED, BUCKETS_EACH = 1 << 19, 1 << 21, 1
-#: Parity bits, in bytes, that a member takes along into a crowded bucket, and members that are all compared with each other.
+#: Parity bits, in bytes, that a member takes along into a crowded bucket, and members whose bits are all compared with each other.
 CARRIED, SQUARE = 256, 4096
 #: Pairs of a crowded bucket that are held until those that are not the closest of a label go.
 WEIGHED = 1 << 20
@@ -398,10 +398,10 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
 
     Pairs of one label need no check, nor do those that could not be similar if this is the first shingle that they share in
     the common order: then all that they share lies at its place and after, in either set. (Pairs that share an earlier one
-    meet there.) Where members carry parity bits, pairs that these rule out are not given either, and of a bucket of SQUARE
-    members at most each label gives the `pivots` pairs with another label whose parity bits differ least: the likeliest links,
-    and as one link connects two labels, a number that grows with the labels, not with the pairs of their members. Members
-    stay that have a pair which was not given. Without parity bits, buckets with few pairs to check give them all. In others
+    meet there.) Where members carry parity bits, pairs that these rule out are not given either, and each label gives the
+    `pivots` pairs with another label whose parity bits differ least: the likeliest links, and as one link connects two labels,
+    a number that grows with the labels, not with the pairs of their members. Members stay that have a pair which was not
+    given. Without parity bits, buckets with few pairs to check give them all. In others
     `pivots` members are paired with the rest: with `pivots` members of each other label. A pivot leaves once no label has
     more; the others stay if labels differ. Pivots are of the smallest labels, and of these the least by number, which is a
     hash: so crowded buckets of the same texts have the same pivots, and a task reports their pairs once.
@@ -411,9 +411,9 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
         shared = similarity / (1 + similarity) * (n + m) - 1e-6
         return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (np.minimum(n - i, m - j) >= shared)
 
-    def near(bits: Parities | None, n: np.ndarray, p: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(bits: Parities, n: np.ndarray, p: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of members `at` that the parity bits let be similar to member p, and the share of them that differs."""
-        if bits is None or not len(at):
+        if not len(at):
             return at, np.zeros(len(at))
         far = bits.apart(p, at) / (n[at] + n[p])
         ok = far <= (1 - similarity) / (1 + similarity) + 1e-9
@@ -428,8 +428,10 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
 
     def likeliest(bits: Parities, n: np.ndarray, i: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (x, y) of members, the closest of each label's, and which members have others that are to be checked. Members lie
-        label by label."""
-        stays = np.zeros(len(l), bool)
+        label by label; of more than SQUARE the first are compared with all, as many as come to half a square's pairs."""
+        last = int(np.count_nonzero(l != l[-1]))
+        first = last if len(l) <= SQUARE else min(last, max(pivots, SQUARE * SQUARE // (2 * len(l))))
+        stays = np.arange(len(l)) >= (first if first < last else len(l))
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         load, most = 0, WEIGHED
 
@@ -439,7 +441,7 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
             stays[x[~pick]] = stays[y[~pick]] = True
             return x[pick], y[pick], far[pick]
 
-        for p in range(int(np.count_nonzero(l != l[-1]))):
+        for p in range(first):
             rest = slice(p + 1, None)
             at, far = near(bits, n, p, p + 1 + np.flatnonzero((l[rest] != l[p]) & fits(n[rest], i[rest], n[p], i[p])))
             held.append((np.full(len(at), p), at, far))
@@ -484,20 +486,19 @@ def pair_buckets(buckets, pivots: int, limit: int, similarity: float):
                     continue
                 order = np.lexsort((node[s:e], which, members[which])) + s
                 v, n, i, l = node[order], size[order], place[order], label[order]
-                bits = Parities(parity[0][order].tolist()) if parity else None
-                if bits is not None and len(v) <= SQUARE:
-                    x, y, stays = likeliest(bits, n, i, l)
+                if parity:
+                    x, y, stays = likeliest(Parities(parity[0][order].tolist()), n, i, l)
                     keep(v[x], v[y])
-                    if stays.any():
+                    if len(np.unique(l[stays])) > 1:
                         yield out(v[stays], None, n[stays], i[stays], np.full(int(stays.sum()), key[s]))
                     continue
-                pairs = few(v, n, i, l) if bits is None else None
+                pairs = few(v, n, i, l)
                 if pairs is not None:
                     keep(*pairs)
                     continue
                 stays = np.ones(len(v), bool)
                 for p in range(min(pivots, len(v))):
-                    at, _ = near(bits, n, p, p + 1 + np.flatnonzero((l[p + 1 :] != l[p]) & fits(n[p + 1 :], i[p + 1 :], n[p], i[p])))
+                    at = p + 1 + np.flatnonzero((l[p + 1 :] != l[p]) & fits(n[p + 1 :], i[p + 1 :], n[p], i[p]))
                     # labels lie side by side: so many of each
                     begins, ends_ = runs(l[at])
                     nth = np.arange(len(at)) - np.repeat(begins, ends_ - begins)
